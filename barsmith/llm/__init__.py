@@ -4,17 +4,19 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import exact_dedup, mixing, packing, secrets
+    from . import chat, exact_dedup, knn, mixing, packing, secrets
 
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op4_knn": knn.op4_knn,
         "op5_secrets": secrets.op5_secrets,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, mixing
+    from . import chat, exact_dedup, knn, mixing
 
-    return {"op1_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op4_knn": knn.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
