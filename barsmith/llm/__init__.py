@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, exact_dedup, knn, mixing, packing, secrets
+    from . import chat, exact_dedup, knn, mixing, packing, secrets, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
         "op4_knn": knn.op4_knn,
         "op5_secrets": secrets.op5_secrets,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
     }
