@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, exact_dedup, knn, mixing, packing, secrets, toxicity
+    from . import chat, exact_dedup, knn, mixing, near_dedup, packing, secrets, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 

@@ -171,7 +171,7 @@ def lexicon(docs: list[set[bytes]], y: np.ndarray, least: int) -> dict[bytes, fl
         open_docs.difference_update(at)
     # Words that always stand beside others of the list are explained by them, and still toxic: they are common there and all but absent from clean documents.
     often = max(4 * least, int(n1 / 50))
-    for lift, f in sorted(((worth(len(at), clean[f])[0], f) for f, at in where.items() if len(at) >= often), key=lambda x: (-x[0], len(x[1]), x[1])):
+    for lift, f in sorted(((worth(len(at), clean[f])[0], f) for f, at in where.items() if len(at) >= often), key=lambda x: (-x[0], -len(x[1]), x[1])):
         if lift > 5.0 and len(out) < LEXICON and not any(g in out for g in forms(f.rstrip(b"*"))):
             out[f] = lift
     return out
