@@ -4,10 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, exact_dedup, knn, mixing, near_dedup, packing, secrets, toxicity
+    import corpus_pipeline
+
+    from . import chat, exact_dedup, knn, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_sharding": sharding.op3_sharding,
         "op4_knn": knn.op4_knn,
         "op5_secrets": secrets.op5_secrets,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -15,6 +19,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8_chat_format,
         "op9_packing": packing.op9_packing,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

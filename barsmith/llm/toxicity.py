@@ -21,6 +21,8 @@ CHAIN = 64
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 40_000_000
 LEXICON = 20_000
+#: Scores from here on say toxic.
+THRESHOLD = 0.3
 STRIP = b".,;:!?\"'()[]{}<>*_-\xc2\xab\xbb"
 
 
@@ -354,7 +356,21 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(run, f"_tx_id {id_type}, score double, spans array<struct<start: long, end: long>>").withColumnRenamed("_tx_id", id_col)
 
 
-THRESHOLD = 0.3
+def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is under the threshold. No join and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                emits = [np.fromiter(map(emissions.__getitem__, w), np.float64, len(w)) for w in map(words, utf8(part.column(at)))]
+                scores = _sigmoid(np.stack([features(p) for p in batch_marginals(emits, shared.value)]) @ shared.value.document)
+                yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
