@@ -7,6 +7,7 @@ has tokens, however many documents there are. The pieces then look up their slot
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -22,21 +23,40 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + rest.index(b)) for b in rest}
+
+
 class Chunks(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of the stretches between ASCII white space.
 
     The tokenizer drops white space and lets no token, and no step of its normalisation, reach over it,
-    so a text's ids are its stretches' ids in a row.
+    so a text's ids are its stretches' ids in a row. It lower-cases, and sets letters and punctuation apart;
+    a stretch with capitals, or with a full stop or comma after a letter, is therefore found through its parts.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.limit = limit
+        tok = Tokenizer.from_file(path)
+        self.encode, self.tokenize = tok.encode, tok.model.tokenize
+        self.letters, self.limit = _byte_letters(), limit
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.asarray(self.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if chunk[-1:] in b".," and chunk[-2:-1].isalpha():  # ASCII letters only
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
+        elif not chunk.islower() and chunk.isalpha():
+            ids = self[chunk.lower()]
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0180" and text == text.lower() and len(text) > 1:
+                # one word of small Latin letters, which are composed: the model's only piece
+                ids = np.asarray([t.id for t in self.tokenize(chunk.decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            else:
+                ids = np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -44,6 +64,12 @@ class Chunks(dict):
         return ids
 
 
+@functools.lru_cache(1)
+def chunks_of(path: str) -> Chunks:
+    """One cache for all the tasks of a worker."""
+    return Chunks(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -55,7 +81,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     source = docs.select(F.col(id_col).alias("_pk_id"), F.col(text_col).alias("_pk_text"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizer_path(tokenizer))
+        chunks = chunks_of(tokenizer_path(tokenizer))
         get, step = chunks.__getitem__, 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
