@@ -30,8 +30,8 @@ def _trade(keys: list[str], reason: str) -> list[Column]:
     return [*map(c, keys), c("entry_time"), c("exit_time"), c("entry_price"), c("exit_price"), (c("_exit") - c("_entry")).cast("bigint").alias("bars_held"), ((c("exit_price") / c("entry_price") - 1.0) * 100.0).alias("return_pct"), F.lit(reason).alias("exit_reason"), c("trend_regime"), c("volatility_regime")]
 
 
-def run_backtest(df: DataFrame, exit_mode: str = "opposite_crossover", fixed_bars: int = 10, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Trades. Flat, a bullish bar is entered at its close; in a trade, the exit is at the close of the
+def run_backtest(df: DataFrame, exit_mode: str = "opposite_crossover", fixed_bars: int = 10, keys: tuple[str, ...] = ("symbol",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Trades, with the carry columns of their entry bars. Flat, a bullish bar is entered at its close; in a trade, the exit is at the close of the
     first bearish bar, or of the first bar fixed_bars on. There is no entry on an exit bar, other signals
     are ignored, and a trade open at the end is dropped.
 
@@ -56,14 +56,14 @@ def run_backtest(df: DataFrame, exit_mode: str = "opposite_crossover", fixed_bar
         df = df.filter("_s = 1 and _exit is not null")
     else:
         df = df.withColumns({"exit_time": F.lead("timestamp", fixed_bars).over(w), "exit_price": F.lead("close", fixed_bars).over(w), "_exit": c("_i") + fixed_bars}).filter(c("bullish_crossover"))
-        df = _greedy(df, names, fixed_bars).filter("exit_time is not null")
+        df = _greedy(df, names, list(carry), fixed_bars).filter("exit_time is not null")
     df = df.withColumnsRenamed({"timestamp": "entry_time", "close": "entry_price", "_i": "_entry"})
-    return df.select(*_trade(names, exit_mode))
+    return df.select(*_trade(names, exit_mode), *carry)
 
 
-def _greedy(signals: DataFrame, keys: list[str], hold: int) -> DataFrame:
+def _greedy(signals: DataFrame, keys: list[str], carry: list[str], hold: int) -> DataFrame:
     """Signals that come after the exit of the last one taken. Rows stream through in order; the state is a number a key."""
-    kept = [*keys, "timestamp", "close", "_i", "_exit", "exit_time", "exit_price", "trend_regime", "volatility_regime"]
+    kept = [*keys, "timestamp", "close", "_i", "_exit", "exit_time", "exit_price", "trend_regime", "volatility_regime", *carry]
     rows = signals.select(*kept).repartition(*keys).sortWithinPartitions(*keys, "_i")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

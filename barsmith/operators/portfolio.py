@@ -11,7 +11,7 @@ SIZINGS = ("fixed", "percent_equity", "risk_percent")
 c = F.col
 
 
-def simulate(trades: DataFrame, sizing: str = "percent_equity", initial: float = INITIAL_CAPITAL, risk_percent: float = 1.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+def simulate(trades: DataFrame, sizing: str = "percent_equity", initial: float = INITIAL_CAPITAL, risk_percent: float = 1.0, commission: float = 0.0, slippage: float = 0.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Equity after each trade, in order of entry; it never falls under 0, and once there it stays when it compounds.
 
     Fixed sizing is a random walk reflected at 0: the sum, less its lowest value so far where that is under 0. The others
@@ -20,7 +20,7 @@ def simulate(trades: DataFrame, sizing: str = "percent_equity", initial: float =
     """
     if sizing not in SIZINGS:
         raise ValueError(f"position sizing {sizing!r} is not one of {SIZINGS}")
-    w = W.partitionBy("symbol").orderBy("entry_time")
+    w = W.partitionBy(*keys).orderBy("entry_time")
     total = w.rowsBetween(W.unboundedPreceding, 0)
     df = trades.withColumn("trade_id", F.row_number().over(w).cast("bigint"))
     r = c("return_pct") / 100.0
@@ -38,14 +38,14 @@ def simulate(trades: DataFrame, sizing: str = "percent_equity", initial: float =
     df = df.withColumn("position_size", size).withColumn("pnl", c("position_size") * r)
     df = df.withColumn("_peak", F.greatest(F.lit(initial), F.max("ending_equity").over(total)))
     df = df.withColumn("drawdown", F.when(c("_peak") > 0, (c("ending_equity") - c("_peak")) / c("_peak") * 100.0).otherwise(0.0))
-    return df.select("symbol", "trade_id", "entry_time", "exit_time", "starting_equity", "position_size", "return_pct", "pnl", "ending_equity", "drawdown")
+    return df.select(*keys, "trade_id", "entry_time", "exit_time", "starting_equity", "position_size", "return_pct", "pnl", "ending_equity", "drawdown")
 
 
-def metrics(equity: DataFrame, initial: float = INITIAL_CAPITAL) -> DataFrame:
-    """One row a symbol. Years have 365.25 days; annual growth needs 30 days; ratios are annualised by trades a year;
+def metrics(equity: DataFrame, initial: float = INITIAL_CAPITAL, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row a key. Years have 365.25 days; annual growth needs 30 days; ratios are annualised by trades a year;
     the Calmar ratio divides the total return."""
     x = c("return_pct")
-    agg = equity.groupBy("symbol").agg(
+    agg = equity.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("number_of_trades"), F.max_by("ending_equity", "trade_id").alias("ending_capital"), F.min_by("entry_time", "trade_id").alias("_t0"), F.max_by("exit_time", "trade_id").alias("_t1"),
         F.abs(F.min("drawdown")).alias("maximum_drawdown"), F.avg(x).alias("average_trade"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("_sd"), F.max(x).alias("largest_win"), F.min(x).alias("largest_loss"),
         F.avg("pnl").alias("expectancy"), F.coalesce(F.sum(F.when(c("pnl") > 0, c("pnl"))), F.lit(0.0)).alias("_w"), F.abs(F.coalesce(F.sum(F.when(c("pnl") <= 0, c("pnl"))), F.lit(0.0))).alias("_l"),
@@ -54,7 +54,7 @@ def metrics(equity: DataFrame, initial: float = INITIAL_CAPITAL) -> DataFrame:
     agg = agg.withColumn("_y", years).withColumn("total_return_pct", (c("ending_capital") / initial - 1.0) * 100.0)
     agg = agg.withColumn("_a", F.sqrt(F.when(c("_y") > 0, c("number_of_trades") / c("_y")).otherwise(c("number_of_trades").cast("double"))))
     return agg.select(
-        "symbol", F.lit(initial).alias("initial_capital"), "ending_capital", "total_return_pct",
+        *keys, F.lit(initial).alias("initial_capital"), "ending_capital", "total_return_pct",
         F.when(c("_y") >= 30 / 365.25, (F.pow(c("ending_capital") / initial, 1.0 / c("_y")) - 1.0) * 100.0).alias("cagr"), "maximum_drawdown",
         F.when(c("_sd") > 0, c("average_trade") / c("_sd") * c("_a")).alias("sharpe_ratio"), F.when(c("_down") > 0, c("average_trade") / c("_down") * c("_a")).alias("sortino_ratio"),
         F.when(c("maximum_drawdown") > 0, c("total_return_pct") / c("maximum_drawdown")).alias("calmar_ratio"), F.when(c("_l") > 0, c("_w") / c("_l")).alias("profit_factor"),

@@ -112,7 +112,7 @@ def with_ema(df: DataFrame, specs: dict[str, tuple[str, float]], start: int = 0)
     df = df.withColumns(carry)
     for name, (_, alpha) in specs.items():
         first = F.first(f"_c_{name}").over(block.rowsBetween(W.unboundedPreceding, 0))
-        out[name] = F.when(F.col("rn") >= start, F.col(f"_l_{name}") + F.pow(F.lit(1 - alpha), F.col("_j") + 1) * first)
+        out[name] = F.when(F.col("rn") == start, F.col(specs[name][0])).when(F.col("rn") > start, F.col(f"_l_{name}") + F.pow(F.lit(1 - alpha), F.col("_j") + 1) * first)
     return df.withColumns(out).drop("_b", "_j", *local, *carry)
 
 

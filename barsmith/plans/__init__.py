@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("core", "trading")
+_MODULES = ("core", "trading", "attribution", "research")
 
 
 def queries() -> dict:
