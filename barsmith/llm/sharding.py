@@ -6,6 +6,7 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -18,6 +19,7 @@ from ._common import ensure_checkpoint_dir, table
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 LEAST_BYTES = 1 << 16
+RUNS_A_ROUND = 256
 
 
 class Conflict(RuntimeError):
@@ -64,8 +66,8 @@ class ShardStore:
     writers leave nothing but unlisted files, which vacuum removes. Shards never change.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> None:
-        self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
+    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, runs_a_round: int = RUNS_A_ROUND) -> None:
+        self.spark, self.root, self.target, self.fanout, self.runs_a_round = spark, root.rstrip("/"), target_bytes, fanout, runs_a_round
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
@@ -127,9 +129,10 @@ class ShardStore:
                     found.append(Shard(s.getPath().toString(), s.getLen()))
         return sorted(found, key=lambda s: s.path)
 
-    def _write(self, rows: DataFrame, by: str) -> str:
+    def _write(self, rows: DataFrame, *by: str) -> str:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").partitionBy(by).parquet(folder)
+        writer = rows.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(folder)
         return folder
 
     def append(self, rows: DataFrame, arrival: Any = None) -> int:
@@ -167,20 +170,20 @@ class ShardStore:
         return rows.select("*", F.col("_metadata.file_path").alias(shard)) if shard else rows
 
     def compact(self) -> int:
-        """Merge until no tier has fanout shards that could be merged; one job and one version a round."""
+        """Merge until no tier has fanout shards that could be merged; one job and one version a round.
+
+        A run is read and written by one task, of about the target size, so rows are not shuffled. A round merges at most
+        runs_a_round runs; the next one goes on from the manifest, so a lost driver loses one round.
+        """
         while True:
             now = self.manifest()
-            runs = plan_merges([Shard(**s) for s in now["shards"]], self.target, self.fanout)
+            runs = plan_merges([Shard(**s) for s in now["shards"]], self.target, self.fanout)[: self.runs_a_round]
             if not runs:
                 return now["version"]
             schema = T.StructType.fromJson(json.loads(now["schema"]))
-            # The plan has a row a shard; the run of a row follows from the file it is in
-            of = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.path, i) for i, r in enumerate(runs) for s in r], "_sh_name string, _sh_path string, _sh_run int")
-            merged = [s for r in runs for s in r]
-            rows = self.spark.read.schema(schema).parquet(*[s.path for s in merged]).select("*", F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/").alias("_sh_path"))
-            of = of.select(F.regexp_replace("_sh_path", "^[a-z]+:/+", "/").alias("_sh_path"), "_sh_run")
-            folder = self._write(rows.join(of, "_sh_path").drop("_sh_path").repartitionByRange(len(runs), "_sh_run"), "_sh_run")
-            made, gone = self._listed(folder), {s.path for s in merged}
+            parts = [self.spark.read.schema(schema).parquet(*[s.path for s in r]).coalesce(1) for r in runs]
+            folder = self._write(reduce(DataFrame.unionAll, parts))
+            made, gone = self._listed(folder), {s.path for r in runs for s in r}
 
             def swapped(live: list[Shard], made=made, gone=gone) -> list[Shard]:
                 if not gone <= {s.path for s in live}:
