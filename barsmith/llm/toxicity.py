@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import pickle
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table, utf8
+from ._common import WORD, cut, table, utf8
 
 #: Tokens a chain has at most; longer texts are chains end to end.
 CHAIN = 64
@@ -32,7 +34,11 @@ def held_out(doc_id: Any) -> bool:
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().split()
+    """Lower-case stretches between ASCII white space."""
+    return text.lower().split() if text.isascii() else text.decode("utf-8", "replace").lower().encode().split()
+
+
+_TOKEN = re.compile(WORD)
 
 
 @dataclass
@@ -132,50 +138,69 @@ def _sigmoid(x: Any) -> Any:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def lexicon(docs: list[set[bytes]], y: np.ndarray, least: int) -> dict[bytes, float]:
+def lexicon(docs: list[list[bytes]], y: np.ndarray, least: int) -> dict[bytes, float]:
     """Forms that occur in toxic documents far more than chance would have it, with their log odds.
 
     Forms are taken one at a time, the one that explains most first. Documents that it explains don't count for
     the others, so words that only stand beside toxic ones find no support. A form needs `least` documents of its own.
     """
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    where: dict[bytes, list[int]] = {}
-    clean: Counter = Counter()
-    for i, d in enumerate(docs):
-        if y[i]:
-            for f in d:
-                where.setdefault(f, []).append(i)
-        else:
-            clean.update(d)
-
-    def worth(k: int, c: int) -> tuple[float, float]:
+    number: dict[bytes, int] = {}
+    by_word: dict[bytes, list[int]] = {}
+    held: list[np.ndarray] = []  # each document's distinct forms, by number
+    for d in docs:
+        found: set[int] = set()
+        for w in set(d):
+            if w:
+                if w not in by_word:
+                    by_word[w] = [number.setdefault(f, len(number)) for f in forms(w)]
+                found.update(by_word[w])
+        held.append(np.fromiter(found, np.int32, len(found)))
+    names = list(number)
+    del by_word, number
+    sides = [[h for h, label in zip(held, y, strict=True) if bool(label) == side] for side in (False, True)]
+    clean, toxic = (np.bincount(np.concatenate(s), minlength=len(names)) if s else np.zeros(len(names), np.int64) for s in sides)
+
+    def worth(k: Any, c: Any) -> tuple[Any, Any]:
         r1, r0 = (k + 0.5) / (n1 + 1), (c + 0.5) / (n0 + 1)
         lift = np.log(r1 / (1 - r1 + 1e-9)) - np.log(r0 / (1 - r0 + 1e-9))
-        return float(lift), float(lift * np.sqrt(k / (1 + c / max(n0, 1.0) * n1)))
-
-    open_docs = set(np.flatnonzero(y).tolist())
+        return lift, lift * np.sqrt(k / (1 + c / max(n0, 1.0) * n1))
+
+    some = np.flatnonzero((toxic >= least) & (worth(toxic, clean)[0] > 1.5))
+    row = np.concatenate([np.full(len(h), i) for i, h in enumerate(sides[1])])
+    form = np.concatenate(sides[1])
+    of_some = np.isin(form, some)
+    row, form = row[of_some], form[of_some]
+    order = np.argsort(form, kind="stable")
+    first = np.searchsorted(form[order], some)
+    where = {int(f): row[order[a : a + toxic[f]]] for f, a in zip(some, first, strict=True)}
+    still_open = np.ones(len(sides[1]), bool)
     # the score only falls as documents are explained, so an entry that is still first after a fresh look is the best
-    heap = [(-worth(len(at), clean[f])[1], -len(f), f) for f, at in where.items() if len(at) >= least and worth(len(at), clean[f])[0] > 1.5]
+    heap = [(-float(worth(toxic[f], clean[f])[1]), -len(names[f].rstrip(b"*")), names[f], f) for f in where]
     heapq.heapify(heap)
     out: dict[bytes, float] = {}
     while heap and len(out) < LEXICON:
-        old, size, f = heapq.heappop(heap)
-        at = [i for i in where[f] if i in open_docs]
+        _, size, name, f = heapq.heappop(heap)
+        at = where[f][still_open[where[f]]]
         if len(at) < least:
             continue
         lift, now = worth(len(at), clean[f])
         if lift <= 1.5 or now < 6.0:
             continue
         if heap and -now > heap[0][0]:
-            heapq.heappush(heap, (-now, size, f))
+            heapq.heappush(heap, (-float(now), size, name, f))
             continue
-        out[f] = lift
-        open_docs.difference_update(at)
+        out[name] = float(lift)
+        still_open[at] = False
     # Words that always stand beside others of the list are explained by them, and still toxic: they are common there and all but absent from clean documents.
     often = max(4 * least, int(n1 / 50))
-    for lift, f in sorted(((worth(len(at), clean[f])[0], f) for f, at in where.items() if len(at) >= often), key=lambda x: (-x[0], -len(x[1]), x[1])):
-        if lift > 5.0 and len(out) < LEXICON and not any(g in out for g in forms(f.rstrip(b"*"))):
-            out[f] = lift
+    shorter: set[tuple[bytes, int]] = set()  # beginnings that occur no more often than a listed form
+    for k, name, f in sorted(((int(toxic[f]), names[f], f) for f in where if toxic[f] >= often), key=lambda x: (-x[0], -len(x[1].rstrip(b"*")), x[1])):
+        lift = float(worth(k, clean[f])[0])
+        kin = forms(name.rstrip(b"*"))
+        if lift > 5.0 and len(out) < LEXICON and (name, k) not in shorter and not any(g in out for g in kin):
+            out[name] = lift
+        shorter.update((g, k) for g in kin if g in out or name in out)
     return out
 
 
@@ -190,7 +215,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, least: int = 5)
         rate = (y.sum() + 1.0) / (len(y) + 2.0)
         return Model({}, -4.0, np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
     docs = [[w.strip(STRIP) for w in words(t)] for t in texts]
-    seeds = lexicon([{f for w in set(d) if w for f in forms(w)} for d in docs], y, least)
+    seeds = lexicon(docs, y, least)
     # Emissions start from the odds; the field is then fitted on tokens labelled by document and word.
     index = {w: i + 1 for i, w in enumerate(sorted(seeds))}
     weight = np.array([-4.0, *[seeds[w] for w in sorted(seeds)]])
@@ -277,19 +302,13 @@ def batch_marginals(emits: list[np.ndarray], model: Model) -> list[np.ndarray]:
 
 def spans(text: bytes, p: np.ndarray, most: float = 0.5) -> list[tuple[int, int]]:
     """Code point offsets of maximal runs of tokens whose marginal is at least `most`."""
-    raw, out, at = text.decode("utf-8", "replace"), [], 0
-    for token, q in zip(raw.lower().encode().split(), p, strict=True):
-        token = token.decode()
-        start = raw.lower().find(token, at)
-        at = start + len(token)
+    out: list[tuple[int, int]] = []
+    joined = False
+    for token, q in zip(_TOKEN.finditer(text.decode("utf-8", "replace")), p, strict=True):
         if q >= most:
-            if out and not raw[out[-1][1] : start].strip() and out[-1][2]:
-                out[-1] = (out[-1][0], at, True)
-            else:
-                out.append((start, at, True))
-        elif out:
-            out[-1] = (*out[-1][:2], False)
-    return [(a, b) for a, b, _ in out]
+            out[-1:] = [(out[-1][0], token.end())] if joined else [*out[-1:], token.span()]
+        joined = bool(q >= most)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -316,10 +335,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         if total > sample_bytes and last is not None:
             break
         last = g
-    rows = sorted(((r["h"], str(r["_tx_id"]), bytes(r["t"]), r["y"]) for r in got.filter(F.shiftright("h", 54) <= (last or 0)).toLocalIterator()), key=lambda r: r[:2])
-    model = fit([r[2] for r in rows], [r[3] for r in rows])
+    # The bounded sample is one task's input, so the fit takes an executor's memory and is made again should it be lost
+    sample = got.filter(F.shiftright("h", 54) <= (last or 0)).select("h", F.col("_tx_id").cast("string").alias("i"), "t", "y").repartition(1).sortWithinPartitions("h", "i")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels_ = [], []
+        for batch in batches:
+            texts += batch.column(2).to_pylist()
+            labels_ += batch.column(3).to_pylist()
+        model = fit(texts, labels_)
+        counts = Counter(labels_)
+        yield pa.record_batch([pa.array([pickle.dumps(model)]), pa.array([counts[0]], pa.int64()), pa.array([counts[1]], pa.int64())], ["model", "n0", "n1"])
+
+    done = sample.mapInArrow(fitted, "model binary, n0 long, n1 long").head()
+    if done is None:
+        return fit([], [])
+    model, have = pickle.loads(done["model"]), {0: done["n0"], 1: done["n1"]}
     # the sample balances the labels; the document score shifts back to the table's odds
-    have = Counter(r[3] for r in rows)
     if have[0] and have[1] and sizes.get(0) and sizes.get(1):
         model.document[0] += np.log(sizes[1] / sizes[0]) - np.log(have[1] / have[0])
     return model
