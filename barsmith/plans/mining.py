@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions import context as ctx
 from barsmith.operators import discovery as ds
+from barsmith.operators import patterns as pt
 from barsmith.operators.labels import signal_labels
 from barsmith.plans.attribution import LABELS
 from barsmith.plans.core import query, rounded
@@ -72,3 +75,81 @@ query("feature_stability", with_features("daily", DATA + f""", sx AS ({' UNION A
 _Q4 = "quantile_cont({}, [0, 0.25, 0.5, 0.75, 1])"
 query("quantile_edges", with_features("daily", DATA + " SELECT feature, round(q[1], 6) AS q0, round(q[2], 6) AS q1, round(q[3], 6) AS q2, round(q[4], 6) AS q3, round(q[5], 6) AS q4 FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, {_Q4.format(x)} AS q FROM sd" for x in _N) + ")"))(
     lambda s, d: rounded(dataset(s, d).select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("x")) for x in _N])).alias("f")).select("f.*").groupBy("feature").agg(F.percentile("x", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q")).select("feature", *[F.col("q")[i].alias(f"q{i}") for i in range(5)]), ["feature"], [f"q{i}" for i in range(5)]))
+
+# Rule mining over five features in sets of two and three.
+_RN, _RC, _RS = ["num_rsi_bucket", "num_dist_ema50", "num_adx_bucket", "num_roc10_bucket"], ["ctx_ema200_side"], (2, 3)
+_RF = [*_RN, *_RC]
+_SETS = [s for k in _RS for s in combinations(_RF, k)]
+_Q4E = "list_sort(list_distinct(quantile_cont({}, [0, 0.25, 0.5, 0.75, 1])))"
+
+
+def _buckets(source: str, name: str, by: str = "") -> str:
+    """CTEs that add b_<feature> to source, by its quantiles or those of each value of `by`."""
+    group = f" GROUP BY {by}" if by else ""
+    on = f"USING ({by})" if by else "ON TRUE"
+    cols = ", ".join([f"CASE WHEN {x} IS NULL THEN 'null' ELSE 'q' || ({_bin(x, 'e_' + x)}) END AS b_{x}" for x in _RN] + [f"coalesce({x}, 'null') AS b_{x}" for x in _RC])
+    return f""", {name}_e AS (SELECT {by + ', ' if by else ''}{', '.join(f'{_Q4E.format(x)} AS e_{x}' for x in _RN)} FROM {source}{group}),
+{name} AS MATERIALIZED (SELECT d.*, {cols} FROM {source} d JOIN {name}_e {on})"""
+
+
+def _each(source: str, figures: str, where: str = "TRUE", by: str = "") -> str:
+    lead_ = by + ", " if by else ""
+    return " UNION ALL ".join(f"SELECT {lead_}'{'|'.join(s)}' AS features, {' || chr(124) || '.join('b_' + x for x in s)} AS buckets, {figures} FROM {source} WHERE {where} GROUP BY ALL" for s in _SETS)
+
+
+def _figures(mfe: str, mae: str) -> str:
+    t = "future_return_20"
+    return f"""count(*) AS signal_frequency, avg(({t} > 0)::INT) AS win_rate, avg({t}) AS average_return, median({t}) AS median_return, CASE WHEN sum(CASE WHEN {t} < 0 THEN -{t} ELSE 0 END) > 1e-12 THEN sum(CASE WHEN {t} > 0 THEN {t} ELSE 0 END) / sum(CASE WHEN {t} < 0 THEN -{t} ELSE 0 END) END AS profit_factor,
+ avg(({t} > 0)::INT) * coalesce(avg({t}) FILTER ({t} > 0), 0) + (1 - avg(({t} > 0)::INT)) * coalesce(avg({t}) FILTER ({t} < 0), 0) AS expectancy, avg({mfe}) AS average_mfe, avg({mae}) AS average_mae"""
+
+
+RULES = DATA + _buckets("sd", "bk") + f""", cand AS (SELECT * FROM ({_each('bk', 'count(*) AS samples')}) WHERE samples >= 30),
+stats AS (SELECT s.* FROM ({_each('bk', _figures('future_high_return', 'future_low_return'), 'future_return_20 IS NOT NULL')}) s JOIN cand USING (features, buckets) WHERE signal_frequency >= 3)"""
+_STAT = ["signal_frequency", "win_rate", "average_return", "median_return", "profit_factor", "expectancy", "average_mfe", "average_mae"]
+_S6 = ", ".join(f"round({x}, 6) + 0::DOUBLE AS {x}" for x in _STAT[1:])
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.bucket_columns(dataset(spark, sf_dir), _RN, _RC)
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.evaluate(_bucketed(spark, sf_dir), _RF, sizes=_RS)
+
+
+query("rule_candidates", with_features("daily", RULES + " SELECT * FROM cand"))(lambda s, d: pt.candidates(_bucketed(s, d), _RF, _RS).select("features", "buckets", "samples"))
+query("rule_statistics", with_features("daily", RULES + f" SELECT features, buckets, signal_frequency, {_S6} FROM stats"))(lambda s, d: rounded(_stats(s, d), ["features", "buckets"], _STAT))
+_WFR = RULES + """, sp0 AS (SELECT *, row_number() OVER (ORDER BY timestamp, symbol) - 1 AS i, count(*) OVER () AS n FROM sd), sp AS (SELECT *, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'oos' END AS split FROM sp0)""" + _buckets("sp", "bs", "split") + f""",
+ws AS (SELECT * FROM ({_each('bs', _figures('future_return_20', 'future_return_20'), 'future_return_20 IS NOT NULL', 'split')}) WHERE signal_frequency >= 10),
+wide AS (SELECT features, buckets, {', '.join(f"max({x}) FILTER (split = '{s}') AS {s}_{n}" for s in ('train', 'val', 'oos') for n, x in (('frequency', 'signal_frequency'), ('win_rate', 'win_rate'), ('expectancy', 'expectancy'), ('profit_factor', 'profit_factor')))} FROM ws GROUP BY 1, 2),
+val AS (SELECT features, buckets, wide.* EXCLUDE (features, buckets), coalesce(train_frequency IS NOT NULL AND val_frequency IS NOT NULL AND oos_frequency IS NOT NULL AND least(train_expectancy, val_expectancy, oos_expectancy) > 0
+  AND list_stddev_pop([train_win_rate, val_win_rate, oos_win_rate]) <= 0.2 AND list_stddev_pop([train_expectancy, val_expectancy, oos_expectancy]) <= 1.5 * abs((train_expectancy + val_expectancy + oos_expectancy) / 3), FALSE) AS is_robust FROM stats LEFT JOIN wide USING (features, buckets))"""
+_WCOLS = [f"{s}_{x}" for s in ("train", "val", "oos") for x in ("frequency", "win_rate", "expectancy", "profit_factor")]
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    stats = _stats(spark, sf_dir)
+    return stats, pt.walk_forward(dataset(spark, sf_dir), _RN, _RC, stats, sizes=_RS)
+
+
+query("rule_walk_forward", with_features("daily", _WFR + " SELECT features, buckets, " + ", ".join(f"coalesce({x}, 0) AS {x}" if x.endswith("frequency") else f"round({x}, 6) + 0::DOUBLE AS {x}" for x in _WCOLS) + ", is_robust FROM val"))(lambda s, d: rounded(_validated(s, d)[1], ["features", "buckets"], [*_WCOLS, "is_robust"]))
+_NS = {"expectancy": 0.25, "oos_expectancy": 0.15, "win_rate": 0.10, "profit_factor": 0.15, "signal_frequency": 0.10, "wf_stability": 0.15, "robust": 0.10}
+_RANK = _WFR + f""", rk0 AS (SELECT s.*, v.train_expectancy, v.val_expectancy, v.oos_expectancy, v.is_robust, v.is_robust::INT::DOUBLE AS robust, list_filter([train_expectancy, val_expectancy, oos_expectancy], lambda z: z IS NOT NULL) AS x FROM stats s JOIN val v USING (features, buckets)),
+rk1 AS (SELECT *, CASE WHEN len(x) >= 2 AND abs(list_avg(x)) > 1e-12 THEN greatest(0, 1 - least(1, list_stddev_pop(x) / abs(list_avg(x)))) ELSE 0 END AS wf_stability FROM rk0),
+ranked AS (SELECT *, round(greatest(({' + '.join(f'{_NORM.format(k)} * {w}::DOUBLE' for k, w in _NS.items())} - 0.02::DOUBLE * greatest(len(string_split(features, '|')) - 2, 0)) * CASE WHEN signal_frequency < 45 AND (win_rate >= 0.98 OR profit_factor IS NULL) THEN CASE WHEN is_robust THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END ELSE 1 END, 0), 6) AS base_score FROM rk1)"""
+query("rule_ranking", with_features("daily", _RANK + " SELECT features, buckets, is_robust, round(wf_stability, 6) AS wf_stability, base_score FROM ranked"))(lambda s, d: rounded(pt.base_ranking(*_validated(s, d)), ["features", "buckets"], ["is_robust", "wf_stability", "base_score"]))
+query("rule_similarity", with_features("daily", _WFR + """, rr AS (SELECT features || ':' || buckets AS rule, string_split(features, '|') AS f FROM val WHERE is_robust),
+pr AS (SELECT a.rule, b.rule AS other, greatest(len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(a.f || b.f)), len(list_intersect(a.f, b.f))::DOUBLE / least(len(a.f), len(b.f))) AS similarity FROM rr a JOIN rr b ON a.rule <> b.rule AND len(list_intersect(a.f, b.f)) > 0)
+SELECT rule, other, round(similarity, 6) AS similarity, position FROM (SELECT *, (row_number() OVER (PARTITION BY rule ORDER BY similarity DESC, other))::INT AS position FROM pr) WHERE position <= 10"""))(lambda s, d: rounded(pt.similar_rules(_validated(s, d)[1]), ["rule", "other"], ["similarity", "position"]))
+query("feature_links", with_features("daily", DATA + " SELECT feature_left, feature_right, round(p, 6) + 0::DOUBLE AS pearson, abs(p) >= 0.85 AS is_link FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_left, '{b}' AS feature_right, corr({a}, {b}) AS p FROM sd" for a, b in combinations(sorted(_N), 2)) + ")"))(lambda s, d: rounded(pt.feature_links(dataset(s, d), _N), ["feature_left", "feature_right"], ["pearson", "is_link"]))
+
+
+@query("rule_diversity")
+def rule_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rule of each component of alike feature sets, greedily ordered by score and diversity; sequential, so on the driver over bounded feature sets."""
+    ranked = pt.base_ranking(*_validated(spark, sf_dir))
+    chosen = pt.representatives(ranked)
+    best = ranked.filter(F.col("features").isin(sorted(set(chosen.values())))).groupBy("features").agg(F.min_by(F.struct("buckets", "base_score"), "rank").alias("b")).collect()
+    rules = [(f"{r['features']}:{r['b']['buckets']}", tuple(r["features"].split("|")), r["b"]["base_score"]) for r in best]
+    rows = [(i + 1, name, float(score), float(d)) for i, (name, score, d) in enumerate(pt.rerank(rules))]
+    return spark.createDataFrame(rows, "rank int, rule string, adjusted_score double, diversity_score double")
