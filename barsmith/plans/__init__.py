@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("core", "trading", "attribution", "research", "datasets", "mining")
+_MODULES = ("core", "trading", "attribution", "research", "datasets", "mining", "learning")
 
 
 def queries() -> dict:
