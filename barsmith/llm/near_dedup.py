@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, table, utf8
+from ._common import bounded_batches, cut, table, tidy, utf8, written
 
 #: Hash values a sketch keeps; the first INDEXED of them make the inverted lists, the first COMPARED the estimate.
 KEPT, INDEXED, COMPARED = 64, 12, 32
@@ -20,6 +19,8 @@ KEPT, INDEXED, COMPARED = 64, 12, 32
 SHORT = 16
 #: So many values in short lists make sure that a partner shares one of them: 0.2 ** 9 < 1e-6.
 SAFE = 9
+#: Documents in a block of those that are compared one by one.
+BLOCK = 256
 #: Ids of documents to verify are broadcast up to this number, 16 MB; joined beyond it.
 MOST_BROADCAST = 2_000_000
 
@@ -93,7 +94,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 sketch.append(found[:KEPT])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "n", "key", "sketch"])
 
-    return source.mapInArrow(run, "id long, n long, key binary, sketch array<long>")
+    return source.mapInArrow(tidy(run), "id long, n long, key binary, sketch array<long>")
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -101,10 +102,6 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 class _Links:
     """Verified links and the components they make, so far."""
 
@@ -155,22 +152,28 @@ class _Links:
                     good.append(both > 0 and 100 * both >= percent * union)
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return joined.mapInArrow(run, "a long, b long").distinct()
+        return joined.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that links reach. Labels travel along the links and to their label's label; every round is checkpointed."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
+    """(id, comp): the smallest id that links reach. Labels travel along the links and to their label's label; every round is a written table."""
+    both, drop_both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, drop = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     total = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        moved = cut(labels.join(near, "id").select("id", F.least("comp", "m").alias("comp")))
-        labels = cut(moved.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp").select("id", F.col("next").alias("comp")))
+        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").select(F.col("a").alias("id"), "comp")
+        jump = labels.select("id", F.col("comp").alias("at")).join(labels.select(F.col("id").alias("at"), "comp"), "at").select("id", "comp")
+        moved, drop_moved = written(near.unionAll(jump).groupBy("id").agg(F.min("comp").alias("comp")))
+        drop()
+        labels, drop = moved, drop_moved
         now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).head()[0]  # falls with every change
         if now == total:
-            return labels
+            break
         total = now
+    out = cut(labels)
+    drop()
+    drop_both()
+    return out
 
 
 def _lists(docs: DataFrame, first: int, last: int) -> DataFrame:
@@ -187,6 +190,48 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return members.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").filter("a <> b")
 
 
+def _stragglers(state: _Links, lists: DataFrame) -> DataFrame:
+    """Pairs that are alike, of documents that share a hub and not a component, with one outside the hub's largest component.
+
+    Documents that share a value share its hub. A hub's documents are dealt out in blocks, outsiders against all, so
+    that a task holds two blocks; whole sets are compared there, and only pairs that are alike come out.
+    """
+    width, percent = state.width, state.percent
+    placed = cut(state.labelled(lists.select("hub", "id", "n").distinct(), "id", "comp"))
+    sizes = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k"))
+    hubs = sizes.groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("n_in"), F.ceil((F.col("m") - F.col("t.k")) / BLOCK).cast("int").alias("n_out")
+    rows = cut(placed.join(cut(hubs.select("hub", F.col("t.comp").alias("top"), *blocks)), "hub"))
+    needed = cut(rows.select("id").distinct())
+    texts = state.texts.join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "id", "left_semi")
+    rows = cut(rows.join(texts, "id"))
+    cell = ["hub", "id", "comp", "text"]
+    inside = rows.select(*cell, F.pmod(F.xxhash64("id"), "n_in").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"))
+    outside = rows.filter("comp <> top").select(*cell, F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("o"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        get = WordHashes().__getitem__
+
+        def sets(t: pa.Table) -> list[np.ndarray]:
+            return [shingle_hashes(np.fromiter(map(get, w), np.uint64, len(w)), width) for w in map(words, utf8(t.column("text").combine_chunks()))]
+
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            xs, ys = sets(left), sets(right)
+            every, owner = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+            size = np.array([len(y) for y in ys])
+            xi, yi = left.column("id").to_numpy(), right.column("id").to_numpy()
+            xc, yc = left.column("comp").to_numpy(), right.column("comp").to_numpy()
+            for i, x in enumerate(xs):
+                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                both = np.bincount(owner[x[at] == every], minlength=len(ys))
+                good = (100 * both >= percent * (len(x) + size - both)) & (yc != xc[i])
+                out += [(min(int(xi[i]), int(y)), max(int(xi[i]), int(y))) for y in yi[good]]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return outside.groupBy("hub", "i", "o").cogroup(inside.groupBy("hub", "i", "o")).applyInArrow(compare, "a long, b long")
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Each document with its component of near duplicates.
 
@@ -201,15 +246,16 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     component are not looked at again. Lists of at most SHORT documents then give all their other pairs. A
     document with SAFE values in short lists has met every partner there. The rest, whose retained
     values are nearly all common, list their further values, among themselves. What is left after that are texts
-    made of common parts and large groups of near copies: there, in each list, every document outside the list's largest component
-    is compared with all documents of other components. So groups of any size take a number of candidates in
-    proportion to their documents, and only documents that resist linking are paired one by one.
+    made of common parts and large groups of near copies: there, of the documents that share a hub, every one outside the largest component
+    is compared with those of other components, block by block, and only pairs that are alike leave the task. So groups of any size take a number of candidates in
+    proportion to their documents, and only documents that resist linking are compared one by one.
 
     Null, empty and blank texts have an empty set and are alone. Rows that share an id are one document. Rows with a
     null id are alone, with null as component and kept false. An empty table gives an empty result; other columns don't matter.
 
     Returns id_col, n_shingles, component_id, kept.
     """
+    bounded_batches(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col, width))
     reps = cut(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sketch", "id").alias("sketch")))
     state = _Links(docs, reps, id_col, text_col, width, percent)
@@ -232,13 +278,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if not rest.isEmpty():
         lists = _lists(rest, 0, INDEXED)
         state.add(lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        placed = cut(state.labelled(lists.select("v", "id", "n"), "id", "comp"))
-        counts = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k"))
-        top = cut(counts.groupBy("v").agg(F.max(F.struct("k", "comp")).alias("t"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("v", F.col("t.comp").alias("top")))
-        outside = placed.join(top, "v").filter("comp <> top").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        inside = placed.join(top, "v", "left_semi")
-        met = outside.join(inside, "v").filter((F.col("cx") != F.col("comp")) & _alike(F.col("nx"), F.col("n"), percent))
-        state.add(met.select(*_pair(F.col("x"), F.col("id"))))
+        state.add(_stragglers(state, lists))
     by_key = cut(state.labelled(reps.select("id", "key"), "id", "comp").select("key", "comp"))
     out = rows.select("id", "n", "key").join(by_key, "key", "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
