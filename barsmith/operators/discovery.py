@@ -101,6 +101,7 @@ def normalized(x: Column) -> Column:
 
 def feature_importance(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """All statistics by feature, means over the targets, and their weighted composite, ranked. Ties by name."""
+    df = df.select(*numeric, *categorical, *RETURN_TARGETS, CLASS_TARGET).persist()  # read by five aggregates
     long = pairs(df, numeric, categorical)
     power = predictive_power(long).groupBy("feature").agg(F.avg("power").alias("predictive_power"))
     mi = mutual_information(long).groupBy("feature").agg(F.avg("mi").alias("mutual_information"))

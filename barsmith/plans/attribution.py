@@ -86,7 +86,7 @@ _BOARD_COLS = ["feature", "bucket", "sample_size", "win_rate", "expectancy", "pr
 
 
 def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    trades = _contexts(spark, sf_dir)
+    trades = _contexts(spark, sf_dir).persist()  # a row a trade, read for the scores' weights and for the scores
     summary = sc.bucket_metrics(trades)
     return trades, summary, sc.leaderboard(summary)
 

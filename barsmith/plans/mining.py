@@ -128,8 +128,9 @@ _WCOLS = [f"{s}_{x}" for s in ("train", "val", "oos") for x in ("frequency", "wi
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stats = _stats(spark, sf_dir)
-    return stats, pt.walk_forward(dataset(spark, sf_dir), _RN, _RC, stats, sizes=_RS)
+    data = dataset(spark, sf_dir).persist()
+    stats = pt.evaluate(pt.bucket_columns(data, _RN, _RC), _RF, sizes=_RS).persist()
+    return stats, pt.walk_forward(data, _RN, _RC, stats, sizes=_RS)
 
 
 query("rule_walk_forward", with_features("daily", _WFR + " SELECT features, buckets, " + ", ".join(f"coalesce({x}, 0) AS {x}" if x.endswith("frequency") else f"round({x}, 6) + 0::DOUBLE AS {x}" for x in _WCOLS) + ", is_robust FROM val"))(lambda s, d: rounded(_validated(s, d)[1], ["features", "buckets"], [*_WCOLS, "is_robust"]))
