@@ -5,8 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 16 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a context: they needn't find it on a path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_barsmith_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="barsmith-")) / "barsmith.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))  # Spark's file server hands it out
+    sc._barsmith_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of an Arrow batch to BATCH_BYTES, if it is higher."""
+    """Lower the session's limit of an Arrow batch to BATCH_BYTES, if it is higher; and see that workers have the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now <= 0 or now > BATCH_BYTES:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import bounded_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 # The template's control strings.
@@ -114,6 +114,7 @@ def format_chats(conversations: DataFrame, *, conv_col: str = "conv_id", turn_co
     holds one conversation at a time, which has to be whole to be encoded once; conversations that happen to be alike don't
     meet. An empty table gives an empty result; other columns don't matter.
     """
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(F.col(conv_col).alias("_ch_id"), F.col(turn_col).alias("_ch_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_ch_role"), F.coalesce(F.col(text_col), F.lit("")).alias("_ch_text"))
     rows = rows.repartition("_ch_id").sortWithinPartitions("_ch_id", "_ch_turn", "_ch_role", "_ch_text")
 

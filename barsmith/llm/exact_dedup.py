@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, cut, table, utf8
+from ._common import SPACE, bounded_batches, cut, table, tidy, utf8
 
 BLOCK_BYTES = 32768
 
@@ -40,7 +40,7 @@ def _names(docs: DataFrame, size: int, key: Callable[[bytes, int], bytes], attem
             for i in range(0, len(rows), 256):
                 yield pa.record_batch([pa.array([r[0] for r in rows[i : i + 256]], pa.binary()), pa.array([r[1] for r in rows[i : i + 256]], pa.binary())], ["key", "block"])
 
-    distinct = docs.select("_bn_text").mapInArrow(contents, "key binary, block binary").groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
+    distinct = docs.select("_bn_text").mapInArrow(tidy(contents), "key binary, block binary").groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
     named = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).sortWithinPartitions("key")
     return cut(named.select("key", "contents", F.monotonically_increasing_id().alias("name")))
 
@@ -56,6 +56,7 @@ def name_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Only the distinct blocks of a task are shuffled, once.
     """
     source = docs.select(F.col(id_col).alias("_bn_id"), F.col(text_col).alias("_bn_text"))
+    bounded_batches(docs.sparkSession)
     attempt = 0
     while True:
         names = _names(source, block_bytes, key, attempt)
@@ -77,7 +78,7 @@ def name_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([batch.column(0), points, pa.array(shas, pa.string()), pa.array(keys, pa.list_(pa.binary()))], ["_bn_id", "points", "text_sha256", "keys"])
 
     id_type = source.schema["_bn_id"].dataType.simpleString()
-    rows = source.mapInArrow(keyed, f"_bn_id {id_type}, points long, text_sha256 string, keys array<binary>")
+    rows = source.mapInArrow(tidy(keyed), f"_bn_id {id_type}, points long, text_sha256 string, keys array<binary>")
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
     names = names.drop("contents")
     single = rows.filter(F.size("keys") == 1).select("rid", F.col("keys")[0].alias("key")).join(names, "key").select("rid", F.lit(0).alias("level"), "name")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import strings, table
+from ._common import bounded_batches, strings, table, tidy
 
 KINDS = ("assign", "access", "hex", "token")
 # The patterns of the three base kinds and their least lengths.
@@ -69,6 +69,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mos
     Null and empty texts have no spans; rows are independent, so repeated rows repeat their result and an
     empty table gives an empty one. No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_sc_id"), F.col(text_col).alias("_sc_text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mos
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(kind))], ["_sc_id", "spans"])
 
     id_type = source.schema["_sc_id"].dataType.simpleString()
-    return source.mapInArrow(spans, f"_sc_id {id_type}, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("_sc_id", id_col)
+    return source.mapInArrow(tidy(spans), f"_sc_id {id_type}, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("_sc_id", id_col)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

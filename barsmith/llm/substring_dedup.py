@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table, utf8
+from ._common import bounded_batches, cut, table, tidy, utf8
 
 LENGTH = 200
 #: Bytes of the strings that anchor windows, a multiple of eight.
@@ -180,7 +180,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
                 a, c = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array(a), pa.array(c)], ["a", "c"])
 
-    again = cut(texts.select("text").mapInArrow(anchors, "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a"))
+    again = cut(texts.select("text").mapInArrow(tidy(anchors), "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +199,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
                     i = pa.array(i)
                     yield pa.record_batch([part.column(0).take(i), part.column(1).take(i), pa.array(start), pa.array(size.astype(np.int32)), pa.array(a), pa.array(f)], ["k1", "k2", "start", "size", "a", "f"])
 
-    where = texts.mapInArrow(placed, f"{KEY}, start long, size int, a long, f long").join(again, "a")
+    where = texts.mapInArrow(tidy(placed), f"{KEY}, start long, size int, a long, f long").join(again, "a")
     reps = rows.filter("rep").select("k1", "k2", "m").dropDuplicates(["k1", "k2"])
     where = cut(where.join(reps, ["k1", "k2"]).select("k1", "k2", "start", "size", "a", "f", (F.col("m") > 1).alias("copied")))
 
@@ -225,7 +225,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
                 i = pa.array(i, pa.int64())
                 yield pa.record_batch([flat.field("a"), flat.field("kinds"), flat.field("multi"), part.column(0).take(i), part.column(1).take(i), flat.field("start"), pa.array(seg, pa.binary())], ["a", "kinds", "multi", "k1", "k2", "start", "seg"])
 
-    parts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "parts").mapInArrow(taken, f"a long, kinds long, multi boolean, {KEY}, start long, seg binary")
+    parts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "parts").mapInArrow(tidy(taken), f"a long, kinds long, multi boolean, {KEY}, start long, seg binary")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -254,7 +254,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
             yield marked()
 
     ranges = f"{KEY}, start long, size long"
-    partly = parts.filter(F.col("kinds") <= hot_segments).repartition("a").sortWithinPartitions("a").mapInArrow(indexed, ranges)
+    partly = parts.filter(F.col("kinds") <= hot_segments).repartition("a").sortWithinPartitions("a").mapInArrow(tidy(indexed), ranges)
     found = whole.withColumn("size", F.col("size").cast("long")).unionByName(partly)
     if not needs.filter(F.col("kinds") > hot_segments).isEmpty():
 
@@ -298,6 +298,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, kept (binary), n_bytes, n_removed, n_spans.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", F.lit("id"), "id"))
     rows = cut(source.select("k1", "k2", F.unhex(F.sha2("text", 256)).alias("sha")))

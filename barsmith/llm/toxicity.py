@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, table, utf8
+from ._common import WORD, bounded_batches, cut, table, tidy, utf8
 
 #: Tokens a chain has at most; longer texts are chains end to end.
 CHAIN = 64
-SAMPLE_DOCS = 6000
-SAMPLE_BYTES = 40_000_000
+SAMPLE_DOCS = 5000
+SAMPLE_BYTES = 25_000_000
 LEXICON = 20_000
 #: Scores from here on say toxic.
 THRESHOLD = 0.3
@@ -138,7 +138,19 @@ def _sigmoid(x: Any) -> Any:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def lexicon(docs: list[list[bytes]], y: np.ndarray, least: int) -> dict[bytes, float]:
+class Numbers(dict):
+    """Stretch of text to the number of the word in it; words are kept once."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+
+    def __missing__(self, raw: bytes) -> int:
+        word = raw.strip(STRIP)
+        value = self[raw] = self.index.setdefault(word, len(self.index))
+        return value
+
+
+def lexicon(docs: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, least: int) -> dict[bytes, float]:
     """Forms that occur in toxic documents far more than chance would have it, with their log odds.
 
     Forms are taken one at a time, the one that explains most first. Documents that it explains don't count for
@@ -146,18 +158,17 @@ def lexicon(docs: list[list[bytes]], y: np.ndarray, least: int) -> dict[bytes, f
     """
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     number: dict[bytes, int] = {}
-    by_word: dict[bytes, list[int]] = {}
+    ids = [[number.setdefault(f, len(number)) for f in forms(w)] if w else [] for w in vocabulary]
+    first = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter((i for x in ids for i in x), np.int32, first[-1])
+    names = list(number)
+    del ids, number
     held: list[np.ndarray] = []  # each document's distinct forms, by number
     for d in docs:
-        found: set[int] = set()
-        for w in set(d):
-            if w:
-                if w not in by_word:
-                    by_word[w] = [number.setdefault(f, len(number)) for f in forms(w)]
-                found.update(by_word[w])
-        held.append(np.fromiter(found, np.int32, len(found)))
-    names = list(number)
-    del by_word, number
+        w = np.unique(d)
+        n = first[w + 1] - first[w]
+        at = np.repeat(first[w] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(w) else np.zeros(0, np.int64)
+        held.append(np.unique(flat[at]))
     sides = [[h for h, label in zip(held, y, strict=True) if bool(label) == side] for side in (False, True)]
     clean, toxic = (np.bincount(np.concatenate(s), minlength=len(names)) if s else np.zeros(len(names), np.int64) for s in sides)
 
@@ -172,8 +183,8 @@ def lexicon(docs: list[list[bytes]], y: np.ndarray, least: int) -> dict[bytes, f
     of_some = np.isin(form, some)
     row, form = row[of_some], form[of_some]
     order = np.argsort(form, kind="stable")
-    first = np.searchsorted(form[order], some)
-    where = {int(f): row[order[a : a + toxic[f]]] for f, a in zip(some, first, strict=True)}
+    begin = np.searchsorted(form[order], some)
+    where = {int(f): row[order[a : a + toxic[f]]] for f, a in zip(some, begin, strict=True)}
     still_open = np.ones(len(sides[1]), bool)
     # the score only falls as documents are explained, so an entry that is still first after a fresh look is the best
     heap = [(-float(worth(toxic[f], clean[f])[1]), -len(names[f].rstrip(b"*")), names[f], f) for f in where]
@@ -214,14 +225,18 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, least: int = 5)
     if len(y) == 0 or y.min() == y.max():
         rate = (y.sum() + 1.0) / (len(y) + 2.0)
         return Model({}, -4.0, np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
-    docs = [[w.strip(STRIP) for w in words(t)] for t in texts]
-    seeds = lexicon(docs, y, least)
+    numbers = Numbers()
+    docs = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in map(words, texts)]
+    vocabulary = list(numbers.index)
+    del numbers
+    seeds = lexicon(docs, vocabulary, y, least)
     # Emissions start from the odds; the field is then fitted on tokens labelled by document and word.
     index = {w: i + 1 for i, w in enumerate(sorted(seeds))}
     weight = np.array([-4.0, *[seeds[w] for w in sorted(seeds)]])
+    listed = np.fromiter((next((index[f] for f in forms(w) if f in index), 0) for w in vocabulary), np.int64, len(vocabulary))
     rows, tags, masks = [], [], []
     for d, label in zip(docs, y, strict=True):
-        ids = np.fromiter((next((index[f] for f in forms(w) if f in index), 0) for w in d), np.int64, len(d))
+        ids = listed[d]
         if not len(ids) or not ids.any():
             continue
         ids, mask = chains(ids)
@@ -347,7 +362,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         counts = Counter(labels_)
         yield pa.record_batch([pa.array([pickle.dumps(model)]), pa.array([counts[0]], pa.int64()), pa.array([counts[1]], pa.int64())], ["model", "n0", "n1"])
 
-    done = sample.mapInArrow(fitted, "model binary, n0 long, n1 long").head()
+    done = sample.mapInArrow(tidy(fitted), "model binary, n0 long, n1 long").head()
     if done is None:
         return fit([], [])
     model, have = pickle.loads(done["model"]), {0: done["n0"], 1: done["n1"]}
@@ -364,6 +379,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     text has no tokens and gets the logistic's value there. Rows are independent: repeated rows repeat their result, an empty
     table gives an empty one, and other columns don't matter. No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
     source = docs.select(F.col(id_col).alias("_tx_id"), F.col(text_col).alias("_tx_text"))
 
@@ -385,11 +401,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([part.column(0), pa.array(scores), pa.array(found, pa.list_(kind))], ["_tx_id", "score", "spans"])
 
     id_type = source.schema["_tx_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_tx_id {id_type}, score double, spans array<struct<start: long, end: long>>").withColumnRenamed("_tx_id", id_col)
+    return source.mapInArrow(tidy(run), f"_tx_id {id_type}, score double, spans array<struct<start: long, end: long>>").withColumnRenamed("_tx_id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose score is under the threshold. No join and no shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -402,7 +419,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
                 scores = _sigmoid(np.stack([features(p) for p in batch_marginals(emits, shared.value)]) @ shared.value.document)
                 yield part.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
