@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, table, utf8
+from ._common import bounded_batches, cut, table, tidy, utf8
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             yield pa.record_batch(columns, ["_pk_id", "piece", "start", "length", "ids_crc32"])
 
     id_type = source.schema["_pk_id"].dataType.simpleString()
-    return source.mapInArrow(cut_up, f"_pk_id {id_type}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_pk_id", id_col)
+    return source.mapInArrow(tidy(cut_up), f"_pk_id {id_type}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_pk_id", id_col)
 
 
 def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
@@ -270,12 +270,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40,
     return slots, sequences
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan with the fewest sequences of those that call lengths over a quarter, three eighths or a half of a sequence large.
+
+    What counts as large trades configured places against small documents that fill up; the histogram tells which does best.
+    """
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    found = None
+    for large in (capacity // 4, capacity * 3 // 8, capacity // 2):
+        now = plan(histogram, capacity, large=large)
+        if found is None or now[1] < found[1]:
+            found = now
+        if found[1] <= least:
+            break
+    return found
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, salts: int = 64) -> DataFrame:
     """Place every piece of every document in a sequence of at most capacity tokens.
 
     Only documents longer than a sequence are cut. Large lengths are split into groups of equal
     cardinality, each rounded up to its largest; configurations of these few sizes are optimised; actual
-    documents take the places; the small ones are best-fitted into the room left. Pieces find their slot
+    documents take the places; the small ones are best-fitted into the room left. Of three ideas of what is large, the one with the fewest sequences is taken. Pieces find their slot
     by their rank among the pieces of their length: a rank within (length, salt), salted as one length may
     hold many rows, and the salts' prefix sum. The driver sees the histogram, capacity x salts rows at most; the
     slot table is joined by length and rank range, its rows are bounded by the plan, not by the documents.
@@ -286,6 +302,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cut_up = cut(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, tokenizer=tokenizer).withColumn("_pk_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")))
     counts = cut_up.groupBy("length", "_pk_salt").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram: dict[int, int] = {}
@@ -293,7 +310,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     for length, salt, n in sorted(tuple(r) for r in counts):
         starts.append((length, salt, histogram.get(length, 0)))
         histogram[length] = histogram.get(length, 0) + n
-    slots, _ = plan(histogram, capacity)
+    slots, _ = best_plan(histogram, capacity)
     # slots of a length as parallel arrays, sorted by rank; at most capacity rows
     by_length: dict[int, list[tuple[int, int, int]]] = {}
     for length, rank, _, sequence, offset in slots:
