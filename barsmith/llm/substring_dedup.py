@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +163,26 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 KEY = "k1 long, k2 long"
 
 
+def packed(texts: DataFrame, id_type: str | None = None) -> DataFrame:
+    """The text column as compressed bytes, for shuffles of whole texts; with id_type also the column id."""
+    lead = ["id"] if id_type else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            small = pa.array([squeeze(t) for t in utf8(batch.column(len(lead) + 2))], pa.binary())
+            yield pa.record_batch([*batch.columns[: len(lead) + 2], small], [*lead, "k1", "k2", "z"])
+
+    schema = (f"id {id_type}, " if id_type else "") + f"{KEY}, z binary"
+    return texts.select(*lead, "k1", "k2", "text").mapInArrow(tidy(run), schema)
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    for z in column:
+        yield expand(z.as_py())
+
+
 def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int, hot_segments: int) -> DataFrame:
     """(k1, k2, start, size): stretches that are covered by windows which also start elsewhere, for texts without whole copies.
 
@@ -216,7 +237,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts_, lists = list(utf8(part.column(2))), part.column(3)
+                texts_, lists = list(unpacked(part.column(2))), part.column(3)
                 sizes = lists.value_lengths().to_pylist()
                 flat = lists.flatten()
                 start, size = flat.field("start").to_pylist(), flat.field("size").to_pylist()
@@ -225,7 +246,7 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
                 i = pa.array(i, pa.int64())
                 yield pa.record_batch([flat.field("a"), flat.field("kinds"), flat.field("multi"), part.column(0).take(i), part.column(1).take(i), flat.field("start"), pa.array(seg, pa.binary())], ["a", "kinds", "multi", "k1", "k2", "start", "seg"])
 
-    parts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "parts").mapInArrow(tidy(taken), f"a long, kinds long, multi boolean, {KEY}, start long, seg binary")
+    parts = packed(texts).join(wanted, ["k1", "k2"]).select("k1", "k2", "z", "parts").mapInArrow(tidy(taken), f"a long, kinds long, multi boolean, {KEY}, start long, seg binary")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -308,14 +329,14 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = repeated_ranges(texts, rows, length, anchor, hot_segments)
     ranges = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size")).alias("ranges")))  # a text's own ranges
     about = rows.select("k1", "k2", "m").dropDuplicates(["k1", "k2"]).join(ranges, ["k1", "k2"], "left")
-    joined = source.join(about, ["k1", "k2"]).select("id", "text", "m", "ranges")
+    joined = packed(source, source.schema["id"].dataType.simpleString()).join(about, ["k1", "k2"]).select("id", "z", "m", "ranges")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 kept, n_bytes, n_removed, n_spans = [], [], [], []
-                for text, m, spans in zip(utf8(part.column(1)), part.column(2).to_pylist(), part.column(3), strict=True):
+                for text, m, spans in zip(unpacked(part.column(1)), part.column(2).to_pylist(), part.column(3), strict=True):
                     n = len(text)
                     if m > 1 and n >= length:
                         spans = [(0, n)]
@@ -341,7 +362,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))], ["id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     id_type = source.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(removed, f"id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidy(removed), f"id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
