@@ -269,8 +269,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             state.add(_short_pairs(lists, percent))
         common = lists.filter(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("common"))
         kept = F.size(F.slice("sketch", first + 1, last - first))
-        # of documents without common values, all are safe; the others count what they have
-        rest = rest.join(common, "id").withColumn("safe", F.col("safe") + kept - F.col("common")).filter(F.col("safe") < need).select("id", "n", "sketch", "safe")
+        # values that aren't common are safe; a set with too few of them, short ones without further values included, stays in the rest
+        rest = rest.join(common, "id", "left").withColumn("safe", F.col("safe") + kept - F.coalesce("common", F.lit(0))).filter(F.col("safe") < need).select("id", "n", "sketch", "safe")
         rest = cut(rest)
         if rest.isEmpty():
             break

@@ -157,6 +157,18 @@ def test_near_components(spark, monkeypatch, short):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_short_near_copies_in_long_lists(spark):
+    """Sets of 11 to 15 shingles whose lists are all longer than SHORT, and whose hub isn't alike."""
+    texts = []
+    for group, (common, own) in enumerate([(13, 2), (15, 3)]):
+        words = [f"g{group}c{i}" for i in range(common)]
+        texts.append(" ".join([*words, *[f"g{group}hub{i}" for i in range(own)]]))
+        texts += [" ".join([*words, f"g{group}own{i}"]) for i in range(near_dedup.SHORT + 4)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame(spark, texts), width=4).collect()}
+    _, want = brute_components(texts, 4, 80)
+    assert len(set(want.values())) == 4 and got == want
+
+
 def test_near_edges(spark):
     assert near_dedup.near_groups(frame(spark, ["x"]).limit(0)).count() == 0
     df = frame(spark, ["a b c d e f", "a b c d e f"]).withColumn("doc_id", F.when(F.col("doc_id") == 0, F.col("doc_id")))
