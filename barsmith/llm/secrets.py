@@ -21,8 +21,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: What the token kind looks at: long runs of the characters that keys are written in.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Identifiers and digests that are no secrets: UUIDs, hexadecimal digests of usual lengths, plain numbers, and names joined of words.
-KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9_=+/-]+|[A-Z]?[a-z]+([A-Z_/+=-]+[a-z]*)*[0-9]{0,4}|[A-Z0-9]{0,3}[A-Z_-]+")
+#: Identifiers and digests that are no secrets, by shape: UUIDs, hexadecimal digests of usual lengths, plain numbers. Names joined of words have many characters a token.
+KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9_=+/-]+")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_CHARS_A_TOKEN = 2.2
 
@@ -45,7 +45,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def token_spans(text: str, base: list[tuple[int, int, int]], encode, most: float = MOST_CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
-    """Runs with few characters a token, outside the base spans and the known digests and identifiers."""
+    """Runs with few characters a token, outside the base spans and the known digests and numbers."""
     out = []
     for m in RUN.finditer(text):
         run = m.group()
@@ -65,7 +65,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mos
 
     Offsets count code points, ends are exclusive. The base kinds come from fixed patterns. The method adds
     the kind token: a run of at least 20 key characters that takes a token for fewer than
-    most_chars_a_token characters, unless it is a known digest or identifier or overlaps a base span.
+    most_chars_a_token characters, unless it is a known digest or number or overlaps a base span.
     Null and empty texts have no spans; rows are independent, so repeated rows repeat their result and an
     empty table gives an empty one. No shuffle.
     """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -271,6 +272,17 @@ def test_secret_spans(spark):
     assert got[6] == got[7] == got[8] == []
 
 
+def test_letter_runs_are_decided_by_their_tokens():
+    encode = secrets.encoder().encode_ordinary
+    for run in ("kJhGfDsAqWeRtYuIoPzX", "xkqzvbnmwplrtyhgfdsa", "XKQZVBNMWPLRTYHGFDSA", "kJhGfDsAqWeRtYuIoPzX1234"):
+        assert secrets.token_spans(f"a {run} b", [], encode) == [(2, 3, 2 + len(run))]
+    for run in ("customer_account_number", "internationalizationandmore", "CustomerAccountNumber2024", "a" * 40, "0123456789abcdef" * 4, "123e4567-e89b-12d3-a456-426614174000", "2024-01-01/2024-12-31"):
+        assert secrets.token_spans(run, [], encode) == []
+    began = time.perf_counter()
+    secrets.token_spans("x" + "=" * 40 + "12345", [], encode)
+    assert time.perf_counter() - began < 5
+
+
 def test_base_spans_equal_the_plain_rule():
     rng = random.Random(7)
     bits = ["password", "Token", "apikey", "=", ": ", "'", "abc123", "AKIA", "DEADBEEF", "0123456789", "abcdef", " ", "é", "/", "."]
