@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from barsmith.llm._common import cut, ensure_checkpoint_dir
+from barsmith.llm._common import cut, ensure_checkpoint_dir, written
 
 #: Ids to drop are broadcast up to this number, 16 MB; joined beyond it.
 MOST_BROADCAST = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
     """docs without the rows of the ids."""
-    ids = cut(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti")
+    ids = cut(ids.select(col).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, col, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, rows repeated with their id included."""
-    groups = cut(exact_dedup.exact_groups(docs))
-    out = _without(docs, groups.filter(F.col("doc_id") != F.col("keep_id")))
-    if groups.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts stays, the one exact_groups keeps. Rows are told apart by a number of their own: ids may be null or repeated."""
+    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = exact_dedup.exact_groups(rows.withColumn("_id", F.struct("doc_id", "_row")), id_col="_id")
+    return _without(rows, groups.filter(~F.col("kept")).select("_id._row"), "_row").drop("_row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,13 @@ def test_stages(spark, tmp_path):
     assert abs(mixed - 1.5 * sum(size[i] for i in seen["near dedup"])) < 500
     assert sorted(set(seen["packing"])) == sorted(set(seen["mixing"]))
     assert len(seen["packing"]) == len(seen["mixing"])
+
+
+def test_exact_stage_keeps_the_kept_row(spark):
+    """Null ids, repeated ids, and another text under the id of a dropped copy."""
+    rows = [(None, "a  b c"), (1, "a b c"), (2, "abc"), (2, "another text"), (None, "x y"), (3, "x  y"), (4, "z"), (4, "z"), (5, "p q"), (5, "p\nq")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, "".join(r.text.split()), len(r.text)) for r in out.collect()), key=str)
+    assert got == sorted([(None, "abc", 6), (2, "anothertext", 12), (3, "xy", 4), (4, "z", 1), (5, "pq", 3)], key=str)
