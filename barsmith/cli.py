@@ -63,9 +63,8 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
         return {"dataset": data}
     if mode == "signal_discovery":
         return {"importance": discovery.feature_importance(data, NUMERIC, CATEGORICAL), "stability": discovery.stability(data, NUMERIC, "future_return_20")}
-    names = [*NUMERIC, *CATEGORICAL]
-    stats = patterns.evaluate(patterns.bucket_columns(data, NUMERIC, CATEGORICAL), names, sizes=(2, 3))
-    valid = patterns.walk_forward(data, NUMERIC, CATEGORICAL, stats, sizes=(2, 3))
+    numeric, categorical = ctx.numeric_features(), ctx.categorical_features()
+    stats, valid = patterns.mine(data, numeric, categorical)
     return {"candidates": stats, "walk_forward": valid, "ranking": patterns.base_ranking(stats, valid), "similarity": patterns.similar_rules(valid)}
 
 

@@ -99,3 +99,12 @@ def with_context(df: DataFrame) -> DataFrame:
     """ctx_<name> and num_<name> for every feature, of an enriched frame."""
     all_ = features()
     return df.withColumns({f"ctx_{f.name}": f.label for f in all_} | {f"num_{f.name}": f.numeric for f in all_})
+
+
+def numeric_features() -> list[str]:
+    """Columns of the features that have a number to bucket; categorical_features has the others, by their labels."""
+    return [f"num_{x}" for x in ORDER if x in BUCKETS]
+
+
+def categorical_features() -> list[str]:
+    return [f"ctx_{x}" for x in ORDER if x not in BUCKETS]

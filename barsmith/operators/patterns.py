@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barsmith.operators.discovery import bin_of, normalized, quantile_edges
+from barsmith.operators.discovery import bin_of, feature_importance, normalized, quantile_edges
 from barsmith.operators.scoring import correlation
 
 c = F.col
 EPS = 1e-12
 SIZES = (2, 3, 4)
+#: Rules are drawn from so many features, the best by importance.
+TOP = 25
 MIN_SAMPLES, MIN_STATS, MIN_SPLIT = 30, 3, 10
 # Weights and thresholds of the ranking.
 WEIGHTS = {"expectancy": 0.25, "oos_expectancy": 0.15, "win_rate": 0.10, "profit_factor": 0.15, "signal_frequency": 0.10, "wf_stability": 0.15, "robust": 0.10}
@@ -154,6 +156,20 @@ def base_ranking(stats: DataFrame, validated: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("base_score"), "features", "buckets"))).drop("_x", "_m", "robust")
 
 
+def top_features(df: DataFrame, numeric: list[str], categorical: list[str], top: int = TOP) -> tuple[list[str], list[str]]:
+    """The numeric and the categorical ones of the best features by importance, best first; all there are when they are fewer."""
+    best = [r["feature"] for r in feature_importance(df, numeric, categorical).orderBy("rank").limit(top).select("feature").collect()]
+    return [x for x in best if x in numeric], [x for x in best if x in categorical]
+
+
+def mine(df: DataFrame, numeric: list[str], categorical: list[str], top: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """Statistics and validation of the rules of every size on the top features."""
+    df = df.persist()
+    numeric, categorical = top_features(df, numeric, categorical, top)
+    stats = evaluate(bucket_columns(df, numeric, categorical), [*numeric, *categorical]).persist()
+    return stats, walk_forward(df, numeric, categorical, stats)
+
+
 def similarity_metrics(a: frozenset, b: frozenset, cluster: dict[str, str]) -> tuple[float, float, float, float]:
     """(similarity, cluster overlap, shared ratio, Jaccard) of two feature sets."""
     ca, cb = {cluster.get(x, x) for x in a}, {cluster.get(x, x) for x in b}
