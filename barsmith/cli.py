@@ -65,7 +65,7 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
         return {"importance": discovery.feature_importance(data, NUMERIC, CATEGORICAL), "stability": discovery.stability(data, NUMERIC, "future_return_20")}
     numeric, categorical = ctx.numeric_features(), ctx.categorical_features()
     stats, valid = patterns.mine(data, numeric, categorical)
-    return {"candidates": stats, "walk_forward": valid, "ranking": patterns.base_ranking(stats, valid), "similarity": patterns.similar_rules(valid)}
+    return {"candidates": stats, "walk_forward": valid, "ranking": patterns.base_ranking(stats, valid), "similarity": patterns.similar_rules(valid, cluster=patterns.feature_clusters(data, numeric, categorical))}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -187,13 +187,16 @@ def diversity_score(similarity: float, overlap: float, shared: float) -> float:
     return 0.40 if similarity >= MODERATE or overlap >= MODERATE else 0.75
 
 
-def similar_rules(ranked: DataFrame, top: int = 10) -> DataFrame:
-    """Each robust rule's most similar rules: rules that share a feature meet by an equi-join on it. Ties by name."""
+def similar_rules(ranked: DataFrame, top: int = 10, cluster: dict[str, str] | None = None) -> DataFrame:
+    """Each robust rule's most similar rules: rules that share a feature or a cluster meet by an equi-join on it. Ties by name."""
     r = ranked.filter("is_robust").select(F.concat_ws(":", "features", "buckets").alias("rule"), F.split("features", "[|]").alias("f"))
-    e = r.select("rule", "f", F.explode("f").alias("x"))
-    met = e.alias("l").join(e.alias("r"), (c("l.x") == c("r.x")) & (c("l.rule") != c("r.rule"))).select(c("l.rule").alias("rule"), c("r.rule").alias("other"), c("l.f").alias("a"), c("r.f").alias("b")).dropDuplicates(["rule", "other"])
+    names = F.create_map(*[F.lit(v) for kv in cluster.items() for v in kv]) if cluster else None
+    r = r.withColumn("k", F.transform("f", lambda x: F.coalesce(F.element_at(names, x), x)) if cluster else c("f"))
+    e = r.select("rule", "f", "k", F.explode(F.array_distinct("k")).alias("x"))  # a shared feature is a shared cluster
+    met = e.alias("l").join(e.alias("r"), (c("l.x") == c("r.x")) & (c("l.rule") != c("r.rule"))).select(c("l.rule").alias("rule"), c("r.rule").alias("other"), c("l.f").alias("a"), c("r.f").alias("b"), c("l.k").alias("ka"), c("r.k").alias("kb")).dropDuplicates(["rule", "other"])
     both = F.size(F.array_intersect("a", "b"))
-    score = F.greatest(both / F.size(F.array_union("a", "b")), both / F.least(F.size("a"), F.size("b")))
+    overlap = F.size(F.array_intersect("ka", "kb")) / F.size(F.array_union("ka", "kb"))
+    score = F.greatest(both / F.size(F.array_union("a", "b")), overlap, both / F.least(F.size("a"), F.size("b")))
     met = met.withColumn("similarity", score)
     w = W.partitionBy("rule").orderBy(F.desc("similarity"), "other")
     return met.withColumn("position", F.row_number().over(w)).filter(c("position") <= top).select("rule", "other", "similarity", "position")
@@ -264,3 +267,43 @@ def feature_links(df: DataFrame, numeric: list[str], threshold: float = 0.85) ->
     one = paired.agg(*[F.coalesce(correlation(f"_p{i}", f"_q{i}"), F.lit(0.0)).alias(f"p{i}") for i in range(len(pairs))])
     out = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_left"), F.lit(b).alias("feature_right"), c(f"p{i}").alias("pearson")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
     return out.withColumn("is_link", F.abs("pearson") >= threshold)
+
+
+def rank_links(df: DataFrame, numeric: list[str], threshold: float = 0.85) -> DataFrame:
+    """feature_links by Spearman's correlation, on ranks among the rows that have both values."""
+    pairs = list(combinations(sorted(numeric), 2))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_left"), F.lit(b).alias("feature_right"), c(a).cast("double").alias("x"), c(b).cast("double").alias("y")) for a, b in pairs])).alias("p")).select("p.*").filter("x is not null and y is not null")
+    key = ["feature_left", "feature_right"]
+    ranks = {f"r{v}": F.rank().over(W.partitionBy(*key).orderBy(v)) + (F.count(F.lit(1)).over(W.partitionBy(*key, v)) - 1) / 2 for v in "xy"}
+    out = long.withColumns(ranks).groupBy(*key).agg(F.coalesce(correlation("rx", "ry"), F.lit(0.0)).alias("spearman"))
+    return out.withColumn("is_link", F.abs("spearman") >= threshold)
+
+
+def feature_clusters(df: DataFrame, numeric: list[str], categorical: list[str], importance: dict[str, float] | None = None) -> dict[str, str]:
+    """Feature to its cluster's representative. Clusters are the components of links by either correlation; categories are alone.
+
+    The representative has the highest mean correlation in its cluster, then the highest importance, then the first name.
+    The pairs of a bounded number of features, on the driver.
+    """
+    strength: dict[tuple[str, str], float] = {}
+    parent = {x: x for x in [*numeric, *categorical]}
+
+    def find(x: str) -> str:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    rows = [*feature_links(df, numeric).collect(), *rank_links(df, numeric).collect()] if len(numeric) > 1 else []
+    for a, b, value, is_link in rows:
+        strength[a, b] = strength[b, a] = max(strength.get((a, b), 0.0), abs(value))
+        if is_link:
+            parent[find(a)] = find(b)
+    groups: dict[str, list[str]] = {}
+    for x in parent:
+        groups.setdefault(find(x), []).append(x)
+    out = {}
+    for members in groups.values():
+        mean = {x: sum(strength.get((x, y), 0.0) for y in members if y != x) / max(len(members) - 1, 1) for x in members}
+        best = min(members, key=lambda x: (-mean[x], -(importance or {}).get(x, 0.0), x))
+        out |= dict.fromkeys(members, best)
+    return out

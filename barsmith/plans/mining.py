@@ -145,18 +145,18 @@ SELECT rule, other, round(similarity, 6) AS similarity, position FROM (SELECT *,
 query("feature_links", with_features("daily", DATA + " SELECT feature_left, feature_right, round(p, 6) + 0::DOUBLE AS pearson, abs(p) >= 0.85 AS is_link FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_left, '{b}' AS feature_right, corr({a}, {b}) AS p FROM sd" for a, b in combinations(sorted(_N), 2)) + ")"))(lambda s, d: rounded(pt.feature_links(dataset(s, d), _N), ["feature_left", "feature_right"], ["pearson", "is_link"]))
 
 
-def _diversity(ranked: DataFrame) -> DataFrame:
+def _diversity(ranked: DataFrame, cluster: dict[str, str]) -> DataFrame:
     """The best rule of each component of alike feature sets, greedily ordered by score and diversity; sequential, so on the driver over bounded feature sets."""
-    chosen = pt.representatives(ranked)
+    chosen = pt.representatives(ranked, cluster)
     best = ranked.filter(F.col("features").isin(sorted(set(chosen.values())))).groupBy("features").agg(F.min_by(F.struct("buckets", "base_score"), "rank").alias("b")).collect()
     rules = [(f"{r['features']}:{r['b']['buckets']}", tuple(r["features"].split("|")), r["b"]["base_score"]) for r in best]
-    rows = [(i + 1, name, float(score), float(d)) for i, (name, score, d) in enumerate(pt.rerank(rules))]
+    rows = [(i + 1, name, float(score), float(d)) for i, (name, score, d) in enumerate(pt.rerank(rules, cluster))]
     return ranked.sparkSession.createDataFrame(rows, "rank int, rule string, adjusted_score double, diversity_score double")
 
 
 @query("rule_diversity")
 def rule_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diversity(pt.base_ranking(*_validated(spark, sf_dir)))
+    return _diversity(pt.base_ranking(*_validated(spark, sf_dir)), pt.feature_clusters(dataset(spark, sf_dir), _RN, _RC))
 
 
 # The whole job: the best 25 of all features in sets of two to four. The queries above are its part that SQL can check in time.
@@ -169,6 +169,12 @@ def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pt.mine(_whole(spark, sf_dir), ctx.numeric_features(), ctx.categorical_features())
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    data, n, k = _whole(spark, sf_dir), ctx.numeric_features(), ctx.categorical_features()
+    importance = {r["feature"]: r["composite_score"] for r in ds.feature_importance(data, n, k).select("feature", "composite_score").collect()}
+    return pt.feature_clusters(data, n, k, importance)
+
+
 def _all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _whole(spark, sf_dir)
     n, k = pt.top_features(data, ctx.numeric_features(), ctx.categorical_features())
@@ -179,5 +185,6 @@ query("rule_candidates_all")(_all_candidates)
 query("rule_statistics_all")(lambda s, d: rounded(_mined(s, d)[0], ["features", "buckets"], _STAT))
 query("rule_walk_forward_all")(lambda s, d: rounded(_mined(s, d)[1], ["features", "buckets"], [*_WCOLS, "is_robust"]))
 query("rule_ranking_all")(lambda s, d: rounded(pt.base_ranking(*_mined(s, d)), ["features", "buckets"], ["is_robust", "wf_stability", "base_score"]))
-query("rule_similarity_all")(lambda s, d: rounded(pt.similar_rules(_mined(s, d)[1]), ["rule", "other"], ["similarity", "position"]))
-query("rule_diversity_all")(lambda s, d: _diversity(pt.base_ranking(*_mined(s, d))))
+query("rule_similarity_all")(lambda s, d: rounded(pt.similar_rules(_mined(s, d)[1], cluster=_clusters(s, d)), ["rule", "other"], ["similarity", "position"]))
+query("rule_diversity_all")(lambda s, d: _diversity(pt.base_ranking(*_mined(s, d)), _clusters(s, d)))
+query("feature_clusters")(lambda s, d: s.createDataFrame(sorted(_clusters(s, d).items()), "feature string, representative string"))

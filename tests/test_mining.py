@@ -50,3 +50,12 @@ def test_whole_job_has_all_features():
     names = {x.split("_", 1)[1] for x in [*context.numeric_features(), *context.categorical_features()]}
     assert names == set(context.ORDER) and len(context.ORDER) == 29
     assert {f"rule_{x}_all" for x in ("candidates", "statistics", "walk_forward", "ranking", "similarity", "diversity")} <= set(plans.queries())
+
+
+def test_clusters_and_neighbours_that_share_one(spark, data):
+    cluster = patterns.feature_clusters(data[0], NUMERIC, CATEGORICAL, {"n3": 1.0})
+    assert cluster == {"n0": "n3", "n1": "n1", "n2": "n2", "n3": "n3", "k0": "k0", "k1": "k1"}
+    rules = spark.createDataFrame([("n0|n1", "q0|q1", True), ("n2|n3", "q0|q1", True), ("k0|k1", "u|x", True)], "features string, buckets string, is_robust boolean")
+    got = {(r.rule, r.other): r.similarity for r in patterns.similar_rules(rules, cluster=cluster).collect()}
+    assert got == {("n0|n1:q0|q1", "n2|n3:q0|q1"): pytest.approx(1 / 3), ("n2|n3:q0|q1", "n0|n1:q0|q1"): pytest.approx(1 / 3)}
+    assert patterns.similar_rules(rules).count() == 0
