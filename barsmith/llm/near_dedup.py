@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, cut, table, tidy, utf8, written
 
-#: Hash values a sketch keeps; the first INDEXED of them make the inverted lists, the first COMPARED the estimate.
+#: Hash values a sketch keeps; the first INDEXED of them make the inverted lists of all documents, the first COMPARED the estimate.
 KEPT, INDEXED, COMPARED = 64, 12, 32
 #: A list of at most so many documents is short: all its pairs are candidates.
 SHORT = 16
-#: So many values in short lists make sure that a partner shares one of them: 0.2 ** 9 < 1e-6.
-SAFE = 9
-#: Documents in a block of those that are compared one by one.
-BLOCK = 256
+#: The probability, over hash functions, with which a link may fail a step that looks at sketches only.
+MISS = 1e-8
+#: Hash values in a block of those documents that are compared one by one.
+BLOCK_VALUES = 200_000
 #: Ids of documents to verify are broadcast up to this number, 16 MB; joined beyond it.
 MOST_BROADCAST = 2_000_000
 
@@ -97,6 +99,30 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return source.mapInArrow(tidy(run), "id long, n long, key binary, sketch array<long>")
 
 
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """id, n, v (all hashes, sorted) of documents given as id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = WordHashes().__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_hashes(np.fromiter(map(get, w), np.uint64, len(w)), width) for w in map(words, utf8(part.column(1)))]
+                yield pa.record_batch([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "v"])
+
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n long, v array<long>")
+
+
+def upper_tail(trials: int, p: float, miss: float) -> int:
+    """The smallest x that a binomial variable reaches with a probability of at most miss."""
+    total = 0.0
+    for x in range(trials, -1, -1):
+        total += math.comb(trials, x) * p**x * (1 - p) ** (trials - x)
+        if total > miss:
+            return x + 1
+    return 0
+
+
 def _alike(a: Column, b: Column, percent: int) -> Column:
     """Set sizes that the similarity allows."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -124,10 +150,13 @@ class _Links:
         short = self.reps.select("id", "n", F.slice("sketch", 1, COMPARED).alias("s"))
         pairs = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
         pairs = pairs.join(short.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b").filter(_alike(F.col("na"), F.col("nb"), self.percent))
-        # the union's sketch, and how much of it is in both: 14 of 32 lie six deviations under 80 %; whole sets are told exactly
+        # whole sets are told exactly; else by the union's sketch, and how much of it is in both
+        both = F.size(F.array_intersect("sa", "sb"))
+        whole = F.greatest("na", "nb") <= COMPARED
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, COMPARED)
         shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
-        pairs = pairs.withColumn("u", union).filter(shared * 100 >= F.size("u") * F.lit(int(self.percent * 0.55))).select("a", "b")
+        least = COMPARED + 1 - upper_tail(COMPARED, 1 - self.percent / 100, MISS)
+        pairs = pairs.withColumn("u", union).filter(F.when(whole, both * 100 >= (F.col("na") + F.col("nb") - both) * self.percent).otherwise(shared >= least)).select("a", "b")
         pairs = cut(pairs)
         found = cut(self.verified(pairs))
         if found.isEmpty():
@@ -176,9 +205,8 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def _lists(docs: DataFrame, first: int, last: int) -> DataFrame:
-    """(v, id, n, c, hub): the inverted lists, of two documents or more, of the sketch values from first to last; c documents, of which hub has the smallest id."""
-    entries = docs.select("id", "n", F.explode(F.slice("sketch", first + 1, last - first)).alias("v"))
+def _lists(entries: DataFrame) -> DataFrame:
+    """(v, id, n, c, hub): the inverted lists, of two documents or more, of entries (id, n, v); c documents, of which hub has the smallest id."""
     sizes = cut(entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).filter("c > 1"))
     return cut(entries.join(sizes, "v"))
 
@@ -190,46 +218,86 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return members.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").filter("a <> b")
 
 
-def _stragglers(state: _Links, lists: DataFrame) -> DataFrame:
-    """Pairs that are alike, of documents that share a hub and not a component, with one outside the hub's largest component.
+def _listed(state: _Links, entries: DataFrame) -> DataFrame:
+    """Take in the candidates of the inverted lists of entries: every document with its list's hub, and all pairs of short lists. Returns the lists."""
+    lists = _lists(entries)
+    if not lists.isEmpty():
+        state.add(lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        state.add(_short_pairs(lists, state.percent))
+    return lists
+
+
+def _unsafe(docs: DataFrame, lists: DataFrame, ranks: int, percent: int) -> DataFrame:
+    """Of docs, whose values up to a rank made the lists, those that may have links the lists didn't show.
 
-    Documents that share a value share its hub. A hub's documents are dealt out in blocks, outsiders against all, so
-    that a task holds two blocks; whole sets are compared there, and only pairs that are alike come out.
+    A link that no short list shows has only common values (those of long lists) among the `ranks` lowest of the union that
+    are in both sets. Then a document's own values in short lists are at most as many as the union's lowest that are
+    in one set alone, and at most the symmetric difference. So a document with more than
+    n (1 - s) / s of them is safe for certain, and one with as many as a binomial variable of `ranks` trials and
+    probability 1 - s reaches with a chance of MISS is safe but for that chance, whatever is common to its text and others.
     """
-    width, percent = state.width, state.percent
-    placed = cut(state.labelled(lists.select("hub", "id", "n").distinct(), "id", "comp"))
-    sizes = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k"))
-    hubs = sizes.groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("t"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("n_in"), F.ceil((F.col("m") - F.col("t.k")) / BLOCK).cast("int").alias("n_out")
-    rows = cut(placed.join(cut(hubs.select("hub", F.col("t.comp").alias("top"), *blocks)), "hub"))
-    needed = cut(rows.select("id").distinct())
-    texts = state.texts.join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "id", "left_semi")
-    rows = cut(rows.join(texts, "id"))
-    cell = ["hub", "id", "comp", "text"]
-    inside = rows.select(*cell, F.pmod(F.xxhash64("id"), "n_in").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"))
-    outside = rows.filter("comp <> top").select(*cell, F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("o"))
+    common = lists.filter(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    rare = F.size(F.slice("sketch", 1, ranks)) - F.coalesce("common", F.lit(0))
+    need = F.least(F.lit(upper_tail(ranks, 1 - percent / 100, MISS)), F.floor(F.col("n") * (100 - percent) / percent) + 1)
+    return cut(docs.join(common, "id", "left").filter(F.col("common").isNotNull() & (rare < need)).select("id", "n", "sketch"))
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        get = WordHashes().__getitem__
 
-        def sets(t: pa.Table) -> list[np.ndarray]:
-            return [shingle_hashes(np.fromiter(map(get, w), np.uint64, len(w)), width) for w in map(words, utf8(t.column("text").combine_chunks()))]
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, v): the values of each full set that an alike set must share one of, rare values first.
+
+    Sets that are alike share at least n * percent / 100 of either's values, so they meet in the first n - that + 1 values of
+    one order of all values; here the number of sets that hold a value, then the value. Values of one set only take their places and are left out.
+    """
+    entries = sets.select("id", "n", F.explode("v").alias("v"))
+    held = cut(entries.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
+    own = W.partitionBy("id")
+    ranked = entries.join(held, "v").withColumn("k", F.row_number().over(own.orderBy("f", "v"))).withColumn("m", F.count(F.lit(1)).over(own))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return cut(ranked.filter(F.col("k") <= prefix - (F.col("n") - F.col("m"))).select("id", "n", "v"))
 
-        out: list[tuple[int, int]] = []
-        if left.num_rows and right.num_rows:
-            xs, ys = sets(left), sets(right)
-            every, owner = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(y) for y in ys])
-            size = np.array([len(y) for y in ys])
-            xi, yi = left.column("id").to_numpy(), right.column("id").to_numpy()
-            xc, yc = left.column("comp").to_numpy(), right.column("comp").to_numpy()
-            for i, x in enumerate(xs):
-                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-                both = np.bincount(owner[x[at] == every], minlength=len(ys))
-                good = (100 * both >= percent * (len(x) + size - both)) & (yc != xc[i])
-                out += [(min(int(xi[i]), int(y)), max(int(xi[i]), int(y))) for y in yi[good]]
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return outside.groupBy("hub", "i", "o").cogroup(inside.groupBy("hub", "i", "o")).applyInArrow(compare, "a long, b long")
+def _stragglers(state: _Links, sets: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs that are alike, of documents that share a hub by a long list and not a component, with one outside the hub's largest component.
+
+    Documents that share a value share its hub. A hub's documents fall into classes of like set size, and classes into
+    blocks of about BLOCK_VALUES values; blocks of outsiders meet the blocks of the same and the neighbouring classes,
+    so a task holds the hashes of two blocks, and only pairs that are alike come out.
+    """
+    percent = state.percent
+    members = lists.filter(F.col("c") > SHORT).select("hub", "id", "n").distinct()
+    placed = cut(state.labelled(members, "id", "comp").withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")))
+    hubs = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("hub", "top")
+    rows = cut(placed.join(hubs, "hub").withColumn("out", F.col("comp") != F.col("top")).drop("top"))
+    blocks = rows.groupBy("hub", "s").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("n_in"), F.ceil(F.sum(F.when(F.col("out"), F.col("n"))) / BLOCK_VALUES).cast("int").alias("n_out"))
+    outer = blocks.filter("n_out > 0").select("hub", F.col("s").alias("so"), "n_out", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
+    cells = cut(blocks.select("hub", "s", "n_in").join(outer, ["hub", "s"]))
+    rows = rows.join(sets.select("id", "v"), "id")
+    # columns of the outside get attributes of their own: both sides come from the same rows
+    inside = rows.join(cells, ["hub", "s"]).select("hub", "id", "comp", "v", "s", F.pmod(F.xxhash64("id"), "n_in").cast("int").alias("i"), "so", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"))
+    outside = rows.filter("out").withColumnRenamed("s", "so").join(cells, ["hub", "so"]).select(*[F.col(c).alias(c) for c in ("hub", "id", "comp", "v", "s")], F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"), F.col("so").alias("so"), F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("o"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        if left.num_rows and right.num_rows:
+            v = right.column("v").combine_chunks()
+            size = v.value_lengths().to_numpy()
+            every = v.flatten().to_numpy()
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(size)), size)[order]
+            yi, yc = right.column("id").to_numpy(), right.column("comp").to_numpy()
+            for x, i, c in zip(left.column("v"), left.column("id").to_pylist(), left.column("comp").to_pylist(), strict=True):
+                x = x.values.to_numpy()
+                low, high = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(size))
+                y = yi[(100 * both >= percent * (len(x) + size - both)) & (yc != c)]
+                found.append(np.stack([np.minimum(y, i), np.maximum(y, i)]))
+        a, b = np.concatenate(found, 1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    cell = ["hub", "s", "i", "so", "o"]
+    return outside.groupBy(*cell).cogroup(inside.groupBy(*cell)).applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -244,11 +312,13 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     retain them. Every list links its documents to its hub (the smallest id) if they are alike: candidates are
     filtered by the estimate from the union's sketch, then verified on the texts, and pairs of one
     component are not looked at again. Lists of at most SHORT documents then give all their other pairs. A
-    document with SAFE values in short lists has met every partner there. The rest, whose retained
-    values are nearly all common, list their further values, among themselves. What is left after that are texts
-    made of common parts and large groups of near copies: there, of the documents that share a hub, every one outside the largest component
-    is compared with those of other components, block by block, and only pairs that are alike leave the task. So groups of any size take a number of candidates in
-    proportion to their documents, and only documents that resist linking are compared one by one.
+    link that is missed now joins two documents most of whose values are common (_unsafe). These go through the
+    lists of their whole sketches, among themselves; what is still unsafe after that through the lists of full sets' prefixes, rare
+    values first, which show every link in a short list or a long one. Of the documents that share a long list's hub, every
+    one outside the hub's largest component is compared with those of other components, on
+    full sets of hashes, block by block. So groups of any size take a number of candidates in
+    proportion to their documents, only documents that resist linking are compared one by one, and no link is lost but by
+    the sketches' chance, MISS a step.
 
     Null, empty and blank texts have an empty set and are alone. Rows that share an id are one document. Rows with a
     null id are alone, with null as component and kept false. An empty table gives an empty result; other columns don't matter.
@@ -259,26 +329,19 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = cut(sketches(docs, id_col, text_col, width))
     reps = cut(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sketch", "id").alias("sketch")))
     state = _Links(docs, reps, id_col, text_col, width, percent)
-    need = F.least(F.lit(SAFE), F.floor(F.col("n") * (100 - percent) / 100) + 1)
-
-    rest, first, safe = reps.withColumn("safe", F.lit(0)), 0, INDEXED
-    for last in (INDEXED, KEPT):
-        lists = _lists(rest, first, last)
-        if not lists.isEmpty():
-            state.add(lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-            state.add(_short_pairs(lists, percent))
-        common = lists.filter(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("common"))
-        kept = F.size(F.slice("sketch", first + 1, last - first))
-        # values that aren't common are safe; a set with too few of them, short ones without further values included, stays in the rest
-        rest = rest.join(common, "id", "left").withColumn("safe", F.col("safe") + kept - F.coalesce("common", F.lit(0))).filter(F.col("safe") < need).select("id", "n", "sketch", "safe")
-        rest = cut(rest)
+    rest = reps
+    for ranks in (INDEXED, KEPT):
+        lists = _listed(state, rest.select("id", "n", F.explode(F.slice("sketch", 1, ranks)).alias("v")))
+        rest = _unsafe(rest, lists, ranks, percent)
         if rest.isEmpty():
             break
-        first = last
-    if not rest.isEmpty():
-        lists = _lists(rest, 0, INDEXED)
-        state.add(lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        state.add(_stragglers(state, lists))
+    else:
+        few = rest.select("id")
+        few = F.broadcast(few) if rest.count() <= MOST_BROADCAST else few
+        sets = cut(full_sets(state.texts.join(few, "id", "left_semi"), width).distinct())  # an id with several texts has several sets
+        lists = _listed(state, _prefixes(sets, percent))
+        if not lists.filter(F.col("c") > SHORT).isEmpty():
+            state.add(_stragglers(state, sets, lists))
     by_key = cut(state.labelled(reps.select("id", "key"), "id", "comp").select("key", "comp"))
     out = rows.select("id", "n", "key").join(by_key, "key", "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))

@@ -150,7 +150,7 @@ def brute_components(texts, width, percent):
 def test_near_components(spark, monkeypatch, short):
     """With short lists of two, documents go through the rounds for common values and the block comparison."""
     monkeypatch.setattr(near_dedup, "SHORT", short)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16 if short == 2 else 256)
+    monkeypatch.setattr(near_dedup, "BLOCK_VALUES", 500 if short == 2 else 200_000)
     texts = corpus(3, 150)
     got = {r.doc_id: r for r in near_dedup.near_groups(extra(frame(spark, texts)), width=4).collect()}
     sets, want = brute_components(texts, 4, 80)
@@ -158,6 +158,39 @@ def test_near_components(spark, monkeypatch, short):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_links_between_documents_of_common_parts(spark):
+    """Families that share most of their words; only pairs inside them are alike (13 of 16 shingles)."""
+    texts = []
+    for i in range(1200):
+        one = [f"f{i // 100}c{j}" for j in range(13)] + [f"p{i}o{j}" for j in range(3)]
+        texts += [" ".join(one), " ".join([*one, *[f"p{i}x{j}" for j in range(3)]])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame(spark, texts), width=4).collect()}
+    assert got == {i: i - i % 2 for i in range(2400)}
+
+
+def test_mixed_sizes_with_boilerplate(spark):
+    """5 to 80 words, of which up to nine tenths are one of three notices, with copies that differ by a word or two."""
+    rng = random.Random(21)
+    notices = [[f"n{k}w{j}" for j in range(70)] for k in range(3)]
+    texts = []
+    for i in range(180):
+        n = rng.randrange(5, 81)
+        common = rng.randrange(0, n * 9 // 10 + 1)
+        words = rng.choice(notices)[:common] + [f"d{i}w{j}" for j in range(n - common)]
+        texts.append(" ".join(words))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            near = list(words)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                near[rng.randrange(len(near))] = f"x{rng.random()}"
+            texts.append(" ".join(near))
+    for short in (near_dedup.SHORT, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_dedup, "SHORT", short)
+            m.setattr(near_dedup, "BLOCK_VALUES", 1000)
+            got = {r.doc_id: r.component_id for r in near_dedup.near_groups(frame(spark, texts), width=4).collect()}
+        assert got == brute_components(texts, 4, 80)[1]
+
+
 def test_short_near_copies_in_long_lists(spark):
     """Sets of 11 to 15 shingles whose lists are all longer than SHORT, and whose hub isn't alike."""
     texts = []
