@@ -1,12 +1,15 @@
-"""Training-data operators. Nothing else in the library imports this subpackage."""
+"""Training-data operators. Nothing else in the library imports this subpackage.
+
+The modules are imported here, so that a missing package shows when this one is imported.
+"""
 
 from __future__ import annotations
 
+from . import chat, exact_dedup, knn, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity
 
-def queries() -> dict:
-    import corpus_pipeline
 
-    from . import chat, exact_dedup, knn, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity
+def queries() -> dict:
+    import corpus_pipeline  # it imports this package
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -24,6 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, exact_dedup, knn, mixing
-
     return {"op1_mixing": mixing.SQL, "op4_knn": knn.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9_=+/-]+")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_CHARS_A_TOKEN = 2.2
+#: Longer runs are encoded in stretches of so many characters, so that the work stays in proportion to their length.
+STRETCH = 4096
 
 
 def encoder(name: str = VOCABULARY):
@@ -45,13 +49,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def token_spans(text: str, base: list[tuple[int, int, int]], encode, most: float = MOST_CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
-    """Runs with few characters a token, outside the base spans and the known digests and numbers."""
+    """Runs with few characters a token, outside the base spans (sorted by start) and the known digests and numbers."""
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far the base spans up to one go
     out = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if KNOWN.fullmatch(run) or any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())
+        if (before and reach[before - 1] > m.start()) or KNOWN.fullmatch(text, m.start(), m.end()):
             continue
-        if len(run) < most * len(encode(run)):
+        tokens = sum(len(encode(text[a : min(a + STRETCH, m.end())])) for a in range(m.start(), m.end(), STRETCH))
+        if m.end() - m.start() < most * tokens:
             out.append((m.start(), 3, m.end()))
     return out
 

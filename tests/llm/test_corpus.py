@@ -316,6 +316,52 @@ def test_letter_runs_are_decided_by_their_tokens():
     assert time.perf_counter() - began < 5
 
 
+@pytest.mark.parametrize("text", ["title" + "-" * 1_000_000 + "12345", "0123456789abcdef0 " * 100_000, "x" * 1_000_000, "Ab1+" * 250_000, "password " * 100_000, "token=" * 150_000, "secret: 'abcdefghijkl' " * 50_000 + "=_/-" * 50_000, "AKIA" * 250_000])
+def test_long_texts_take_linear_time(text):
+    encode = secrets.encoder().encode_ordinary
+    began = time.perf_counter()
+    base = secrets.base_spans(text)
+    spans = secrets.token_spans(text, base, encode)
+    assert time.perf_counter() - began < 4
+    assert all(0 <= s < e <= len(text) for s, _, e in base + spans)
+
+
+def plain_scan(text, encode):
+    """The rules of the docstring, one run and one span at a time."""
+    t = text or ""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    base = sorted(spans)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+        run = m[0]
+        digest = len(run) in (32, 40, 56, 64, 96, 128) and set(run) <= set("0123456789abcdefABCDEF")
+        uuid = [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and set(run) <= set("0123456789abcdefABCDEF-")
+        number = set(run) <= set("0123456789_=+/-")
+        meets = any(s < m.end() and m.start() < e for s, _, e in base)
+        if len(run) >= 20 and not (digest or uuid or number or meets) and len(run) / len(encode(run)) < secrets.MOST_CHARS_A_TOKEN:
+            spans.append((m.start(), 3, m.end()))
+    return base, sorted(spans)
+
+
+def test_op5_query_by_the_plain_rule(spark, tmp_path):
+    rng = random.Random(17)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    bits = ["password", "Token", "api_key", "=", ": ", "'", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", " ", " ", "é", "customer_account_number", "123e4567-e89b-12d3-a456-426614174000", "----------------------"]
+    texts = ["".join(rng.choices(bits, k=10)) + " " + "".join(rng.choices(alphabet, k=rng.randrange(10, 50))) + rng.choice([" ", "", ", "]) + "".join(rng.choices(bits, k=6)) for _ in range(400)]
+    texts += [None, "", " "]
+    extra(frame(spark, texts)).write.parquet(str(tmp_path / "documents.parquet"))
+    encode = secrets.encoder().encode_ordinary
+    said = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    got = secrets.op5_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    assert any("token:" in r.spans for r in got)
+    for r in got:
+        base, spans = plain_scan(texts[r.doc_id], encode)
+        assert r.spans == said(spans) and r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+
+
 def test_base_spans_equal_the_plain_rule():
     rng = random.Random(7)
     bits = ["password", "Token", "apikey", "=", ": ", "'", "abc123", "AKIA", "DEADBEEF", "0123456789", "abcdef", " ", "é", "/", "."]
