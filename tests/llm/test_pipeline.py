@@ -51,3 +51,35 @@ def test_exact_stage_keeps_the_kept_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, "".join(r.text.split()), len(r.text)) for r in out.collect()), key=str)
     assert got == sorted([(None, "abc", 6), (2, "anothertext", 12), (3, "xy", 4), (4, "z", 1), (5, "pq", 3)], key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts_left(spark, stage, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_stages_go_by_row(spark):
+    rows = [(1, "x y"), (5, "x y"), (5, "unique text here")]
+    want = sorted([(1, "x y"), (5, "unique text here")], key=str)
+    assert texts_left(spark, corpus_pipeline.drop_copies, rows) == want
+    assert texts_left(spark, corpus_pipeline.drop_near_copies, rows) == want
+    rows = [(None, "x y"), (1, "x y"), (5, "x y")]
+    assert len(texts_left(spark, corpus_pipeline.drop_copies, rows)) == 1
+    assert texts_left(spark, corpus_pipeline.drop_near_copies, rows) == [(1, "x y")]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long), (7, long + " more"), (None, long + " again"), (None, None), (None, ""), (3, "other words")]
+    assert texts_left(spark, corpus_pipeline.drop_near_copies, rows) == sorted([(7, long), (None, None), (None, ""), (3, "other words")], key=str)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
