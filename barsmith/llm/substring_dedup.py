@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +14,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut, table, tidy, utf8
+from ._common import bounded_batches, cut, table, tidy, utf8, written
 
 LENGTH = 200
-#: Bytes of the strings that anchor windows, a multiple of eight.
-ANCHOR = 32
-#: Segments of one index, in bytes, if anchors allow; and the number of segments beyond which an anchor's windows are counted apart.
+#: Bytes of the strings that anchor windows, multiples of eight: of all windows, and of those whose anchors have more different segments than one index takes.
+ANCHORS = (32, 120, 200)
+#: Bytes of the segments of one index.
 INDEX_BYTES = 2_000_000
-HOT_SEGMENTS = 30_000
 PIECE = 1 << 23
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -163,18 +164,17 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 KEY = "k1 long, k2 long"
 
 
-def packed(texts: DataFrame, id_type: str | None = None) -> DataFrame:
-    """The text column as compressed bytes, for shuffles of whole texts; with id_type also the column id."""
-    lead = ["id"] if id_type else []
+def packed(texts: DataFrame, lead: str = f"{KEY}, base long") -> DataFrame:
+    """The text column as compressed bytes z, for shuffles of whole texts, beside the lead columns."""
+    names = [c.split()[0] for c in lead.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            small = pa.array([squeeze(t) for t in utf8(batch.column(len(lead) + 2))], pa.binary())
-            yield pa.record_batch([*batch.columns[: len(lead) + 2], small], [*lead, "k1", "k2", "z"])
+            small = pa.array([squeeze(t) for t in utf8(batch.column(len(names)))], pa.binary())
+            yield pa.record_batch([*batch.columns[: len(names)], small], [*names, "z"])
 
-    schema = (f"id {id_type}, " if id_type else "") + f"{KEY}, z binary"
-    return texts.select(*lead, "k1", "k2", "text").mapInArrow(tidy(run), schema)
+    return texts.select(*names, "text").mapInArrow(tidy(run), f"{lead}, z binary")
 
 
 def unpacked(column: pa.Array) -> Iterator[bytes]:
@@ -183,84 +183,70 @@ def unpacked(column: pa.Array) -> Iterator[bytes]:
         yield expand(z.as_py())
 
 
-def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int, hot_segments: int) -> DataFrame:
-    """(k1, k2, start, size): stretches that are covered by windows which also start elsewhere, for texts without whole copies.
+PLACE = f"{KEY}, base long"
 
-    texts: (k1, k2, text); rows: (k1, k2, m, rep), m copies of the text, of which one is the representative.
-    """
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[bytes] = set()
-            found = []
-            for text in utf8(batch.column(0)):
-                if len(text) >= length and (d := hashlib.blake2b(text, digest_size=16).digest()) not in seen:
-                    seen.add(d)
-                    found.append(segments(text, length, anchor)[2])
-            if found:
-                a, c = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch([pa.array(a), pa.array(c)], ["a", "c"])
 
-    again = cut(texts.select("text").mapInArrow(tidy(anchors), "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a"))
+def _segmented(source: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(k1, k2, base, copied, start, size, a, f1, f2): all segments of the source's (k1, k2, base, copied, text); a: their anchor, f1, f2: their content."""
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                cols: list[list] = [[] for _ in range(5)]
-                for i, text in enumerate(utf8(part.column(2))):
+                cols: list[list] = [[] for _ in range(6)]
+                for i, text in enumerate(utf8(part.column(4))):
                     if len(text) < length:
                         continue
                     start, size, a = segments(text, length, anchor)
-                    f = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), (start + size).tolist(), strict=True)]
-                    for c, v in zip(cols, (np.full(len(start), i), start, size, a, np.array(f, np.uint64).view(np.int64)), strict=True):
+                    f = b"".join(xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(start.tolist(), (start + size).tolist(), strict=True))
+                    f = np.frombuffer(f, "<i8").reshape(-1, 2)
+                    for c, v in zip(cols, (np.full(len(start), i), start, size, a, f[:, 0], f[:, 1]), strict=True):
                         c.append(v)
                 if cols[0]:
-                    i, start, size, a, f = map(np.concatenate, cols)
+                    i, start, size, a, f1, f2 = map(np.concatenate, cols)
                     i = pa.array(i)
-                    yield pa.record_batch([part.column(0).take(i), part.column(1).take(i), pa.array(start), pa.array(size.astype(np.int32)), pa.array(a), pa.array(f)], ["k1", "k2", "start", "size", "a", "f"])
+                    yield pa.record_batch([*(part.column(j).take(i) for j in range(4)), pa.array(start), pa.array(size.astype(np.int32)), pa.array(a), pa.array(f1), pa.array(f2)], ["k1", "k2", "base", "copied", "start", "size", "a", "f1", "f2"])
 
-    where = texts.mapInArrow(tidy(placed), f"{KEY}, start long, size int, a long, f long").join(again, "a")
-    reps = rows.filter("rep").select("k1", "k2", "m").dropDuplicates(["k1", "k2"])
-    where = cut(where.join(reps, ["k1", "k2"]).select("k1", "k2", "start", "size", "a", "f", (F.col("m") > 1).alias("copied")))
+    return source.select("k1", "k2", "base", "copied", "text").mapInArrow(tidy(run), f"{PLACE}, copied boolean, start long, size int, a long, f1 long, f2 long")
 
-    # Distinct segments; equal ones (anchor and content hash, 128 bits, agree) need no look at their bytes
-    kinds = where.groupBy("a", "f").agg(F.count(F.lit(1)).alias("c"), F.max("copied").alias("copied"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("size").alias("size"))
-    kinds = cut(kinds.withColumn("multi", (F.col("c") > 1) | F.col("copied")))
-    mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.sum((~F.col("multi")).cast("int")).alias("single")).filter("kinds > 1 and single > 0")
-    needs = cut(kinds.join(mixed.select("a", "kinds"), "a").select("a", "kinds", "multi", "k1", "k2", "start", "size"))
-    whole = where.filter("not copied").join(kinds.filter("c > 1").select("a", "f"), ["a", "f"]).select("k1", "k2", "start", "size")
 
-    wanted = needs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size", "a", "kinds", "multi")).alias("parts"))  # a text's own segments
+def _anchors(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(a): the anchors with more than one segment, whole copies in a batch counted once."""
 
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts_, lists = list(unpacked(part.column(2))), part.column(3)
-                sizes = lists.value_lengths().to_pylist()
-                flat = lists.flatten()
-                start, size = flat.field("start").to_pylist(), flat.field("size").to_pylist()
-                i = [j for j, n in enumerate(sizes) for _ in range(n)]
-                seg = [texts_[j][s : s + n] for j, s, n in zip(i, start, size, strict=True)]
-                i = pa.array(i, pa.int64())
-                yield pa.record_batch([flat.field("a"), flat.field("kinds"), flat.field("multi"), part.column(0).take(i), part.column(1).take(i), flat.field("start"), pa.array(seg, pa.binary())], ["a", "kinds", "multi", "k1", "k2", "start", "seg"])
-
-    parts = packed(texts).join(wanted, ["k1", "k2"]).select("k1", "k2", "z", "parts").mapInArrow(tidy(taken), f"a long, kinds long, multi boolean, {KEY}, start long, seg binary")
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            found = []
+            for text in utf8(batch.column(0)):
+                if len(text) >= length and (d := hashlib.blake2b(text, digest_size=16).digest()) not in seen:
+                    seen.add(d)
+                    found.append(segments(text, length, anchor)[2])
+            if found:
+                a, c = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array(a), pa.array(c)], ["a", "c"])
+
+    return texts.select("text").mapInArrow(tidy(run), "a long, c long").groupBy("a").agg(F.sum("c").alias("c")).filter("c > 1").select("a")
+
+
+def _indexed(parts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, start, size): the covered stretches of the segments (a, multi, k1, k2, base, start, seg) that share windows with others of their anchor.
+
+    Anchors are brought together by hash and read in order, some at a time, so that an index takes about INDEX_BYTES.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def marked() -> pa.RecordBatch:
             distinct: dict[bytes, list[tuple]] = {}
             for row in held:
-                distinct.setdefault(row[6], []).append(row)
+                distinct.setdefault(row[5], []).append(row)
             out = []
             for seg, flags in zip(distinct, repeated(list(distinct), length), strict=True):
                 for row in distinct[seg]:
-                    if not row[2]:
-                        out += [(row[3], row[4], row[5] + s, n + length - 1) for s, n in _ranges(flags if len(distinct[seg]) == 1 else np.ones_like(flags))]
+                    if not row[1]:
+                        out += [(row[2], row[3], row[4] + s, n + length - 1) for s, n in _ranges(flags if len(distinct[seg]) == 1 else np.ones_like(flags))]
             return pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["k1", "k2", "start", "size"])
 
         for batch in batches:
@@ -270,37 +256,60 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchor: int,
                     held, size = [], 0
                 held.append(row)
                 last = row[0]
-                size += len(row[6])
+                size += len(row[5])
         if held:
             yield marked()
 
-    ranges = f"{KEY}, start long, size long"
-    partly = parts.filter(F.col("kinds") <= hot_segments).repartition("a").sortWithinPartitions("a").mapInArrow(tidy(indexed), ranges)
-    found = whole.withColumn("size", F.col("size").cast("long")).unionByName(partly)
-    if not needs.filter(F.col("kinds") > hot_segments).isEmpty():
+    rows = parts.select("a", "multi", "k1", "k2", (F.col("base") + F.col("start")).alias("start"), "seg")
+    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(tidy(run), f"{KEY}, start long, size long")
+
+
+def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchors: tuple[int, ...], index_bytes: int) -> DataFrame:
+    """(k1, k2, start, size): stretches that are covered by windows which also start elsewhere, for texts without whole copies.
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts: (k1, k2, text); rows: (k1, k2, m, rep), m copies of the text, of which one is the representative.
+    """
+    reps = rows.filter("rep").select("k1", "k2", (F.col("m") > 1).alias("copied")).dropDuplicates(["k1", "k2"])
+    source = texts.withColumns({"base": F.lit(0).cast("long"), "copied": F.lit(False)})
+    found = []
+    for level, anchor in enumerate(anchors):
+        again = cut(_anchors(source, length, anchor))
+        where = _segmented(source, length, anchor).join(again, "a")
+        if not level:
+            where = where.drop("copied").join(reps, ["k1", "k2"])
+        where = cut(where)
+        # Distinct segments; equal ones (anchor and content, 192 bits, agree) repeat as a whole
+        kinds = where.groupBy("a", "f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.max("copied").alias("copied"), *[F.first(x).alias(x) for x in ("k1", "k2", "base", "start", "size")])
+        kinds = cut(kinds.withColumn("multi", (F.col("c") > 1) | F.col("copied")))
+        whole = where.filter("not copied").join(kinds.filter("c > 1").select("a", "f1", "f2"), ["a", "f1", "f2"])
+        found.append(whole.select("k1", "k2", (F.col("base") + F.col("start")).alias("start"), F.col("size").cast("long").alias("size")))
+        mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.sum((~F.col("multi")).cast("int")).alias("single"), F.sum("size").alias("bytes")).filter("kinds > 1 and single > 0")
+        needs = kinds.join(mixed.select("a", "bytes"), "a").select("a", "bytes", "multi", "k1", "k2", "base", "start", "size")
+        wanted = needs.groupBy("k1", "k2", "base").agg(F.collect_list(F.struct("start", "size", "a", "bytes", "multi")).alias("parts"))  # a text's own segments
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    low, high, i, pos = [], [], [], []
-                    for j, (seg, start) in enumerate(zip(part.column(6).to_pylist(), part.column(5).to_pylist(), strict=True)):
-                        for s in range(len(seg) - length + 1):
-                            d = xxhash.xxh3_128_intdigest(seg[s : s + length])
-                            low.append(d & 0x7FFFFFFFFFFFFFFF)
-                            high.append(d >> 65)
-                            i.append(j)
-                            pos.append(start + s)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
+                    texts_, lists = list(unpacked(part.column(3))), part.column(4)
+                    sizes = lists.value_lengths().to_pylist()
+                    flat = lists.flatten()
+                    start, size = flat.field("start").to_pylist(), flat.field("size").to_pylist()
+                    i = [j for j, n in enumerate(sizes) for _ in range(n)]
+                    seg = [texts_[j][s : s + n] for j, s, n in zip(i, start, size, strict=True)]
                     i = pa.array(i, pa.int64())
-                    yield pa.record_batch([pa.array(low, pa.int64()), pa.array(high, pa.int64()), part.column(2).take(i), part.column(3).take(i), part.column(4).take(i), pa.array(pos, pa.int64())], ["w1", "w2", "multi", "k1", "k2", "start"])
+                    yield pa.record_batch([flat.field("a"), flat.field("bytes"), flat.field("multi"), *(part.column(j).take(i) for j in range(3)), flat.field("start"), pa.array(seg, pa.binary())], ["a", "bytes", "multi", "k1", "k2", "base", "start", "seg"])
 
-        each = cut(parts.filter(F.col("kinds") > hot_segments).mapInArrow(windows, f"w1 long, w2 long, multi boolean, {KEY}, start long"))
-        twice = cut(each.groupBy("w1", "w2").agg(F.sum(F.when(F.col("multi"), 2).otherwise(1)).alias("c")).filter("c > 1").select("w1", "w2"))
-        found = found.unionByName(each.filter("not multi").join(twice, ["w1", "w2"]).select("k1", "k2", "start", F.lit(length).cast("long").alias("size")))
-    return found
+        parts = packed(source).join(wanted, ["k1", "k2", "base"]).select("k1", "k2", "base", "z", "parts").mapInArrow(tidy(taken), f"a long, bytes long, multi boolean, {PLACE}, start long, seg binary")
+        most = index_bytes if level < len(anchors) - 1 else sys.maxsize
+        found.append(_indexed(parts.filter(F.col("bytes") <= most), length))
+        if mixed.filter(F.col("bytes") > most).isEmpty():
+            break
+        source = written(parts.filter(F.col("bytes") > most).select("k1", "k2", (F.col("base") + F.col("start")).alias("base"), F.col("multi").alias("copied"), F.col("seg").alias("text")))[0]
+    return reduce(DataFrame.unionAll, found)
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that also starts anywhere else in the corpus.
 
     Texts are UTF-8 bytes, null counts as empty, matches stay inside a document but may be in the same one. All
@@ -311,8 +320,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Runs of windows with one anchor are segments; anchors that occur once are done, equal segments repeat as a whole. What is left,
     different segments of one anchor, goes to the anchor's task, where a run-compressed
     Burrows-Wheeler transform with sampled run ends gives the matching statistics, and matches of at
-    least `length` are marked. Anchors with more than hot_segments different segments have their windows counted by
-    hash, spread over all tasks. Whole copies are told by digest, so a group of copies of any size counts once.
+    least `length` are marked. The segments of anchors that have more than index_bytes of them are dealt out again by
+    longer anchors, so that every index is small; the last anchor is the window itself, whose
+    segments are all equal. Whole copies are told by digest, so a group of copies of any size counts once.
+    anchors: widths, multiples of eight, growing up to length.
 
     A text with copies and at least `length` bytes is removed whole. Shorter texts stay. Rows with the same id
     and text are copies; an empty table gives an empty result; other columns don't matter.
@@ -326,10 +337,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = cut(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("m"), F.min("k1").alias("r1")))
     rows = cut(rows.join(groups, "sha").select("k1", "k2", "m", (F.col("k1") == F.col("r1")).alias("rep")))
     texts = source.select("k1", "k2", "text")
-    found = repeated_ranges(texts, rows, length, anchor, hot_segments)
+    found = repeated_ranges(texts, rows, length, anchors, index_bytes)
     ranges = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size")).alias("ranges")))  # a text's own ranges
     about = rows.select("k1", "k2", "m").dropDuplicates(["k1", "k2"]).join(ranges, ["k1", "k2"], "left")
-    joined = packed(source, source.schema["id"].dataType.simpleString()).join(about, ["k1", "k2"]).select("id", "z", "m", "ranges")
+    id_type = source.schema["id"].dataType.simpleString()
+    joined = packed(source, f"id {id_type}, {KEY}").join(about, ["k1", "k2"]).select("id", "z", "m", "ranges")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,10 +373,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     n_spans.append(len(merged))
                 yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))], ["id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    id_type = source.schema["id"].dataType.simpleString()
     return joined.mapInArrow(tidy(removed), f"id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of all documents: 200-byte strings; kept bytes as a digest."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -233,8 +233,9 @@ def brute_windows(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT_SEGMENTS, 1])
-def test_substrings(spark, hot):
+@pytest.mark.parametrize("anchors, index_bytes", [(substring_dedup.ANCHORS, substring_dedup.INDEX_BYTES), (substring_dedup.ANCHORS, 1000), ((32, 200), 1), ((64, 104, 152, 200), 1)])
+def test_substrings(spark, anchors, index_bytes):
+    """The same bytes go however small the indexes are."""
     rng = random.Random(5)
     letters = "abcdefghij é"
     base = ["".join(rng.choices(letters, k=rng.randrange(150, 700))) for _ in range(8)]
@@ -243,10 +244,23 @@ def test_substrings(spark, hot):
         parts = [b[rng.randrange(len(b) // 2) :] if rng.random() < 0.7 else "".join(rng.choices(letters, k=60)) for b in rng.choices(base, k=rng.randrange(0, 4))]
         texts.append("".join(parts))
     texts += ["é" * 300, "ab" * 700, "", None, texts[3], texts[3], "z" * 199, "z" * 199, "q\0" * 250]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.dedup_substrings(extra(frame(spark, texts)), hot_segments=hot).collect()}
+    passage = "".join(rng.choices(letters, k=260))
+    texts += [f"{i:05d}" + rng.choice(["", ". ", "xy"]) + passage + rng.choice(["", "!", "end"]) for i in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.dedup_substrings(extra(frame(spark, texts)), anchors=anchors, index_bytes=index_bytes).collect()}
     assert got == dict(enumerate(brute_windows(texts, 200)))
 
 
+def test_op2_query(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    shared = " ".join(rng.choices(words, k=60))
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 90))) + (shared if i % 4 == 0 else "") for i in range(60)] + [None, "", "x" * 100_000]
+    extra(frame(spark, texts)).drop("h").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.op2_substring_dedup(spark, str(tmp_path)).collect()}
+    want = brute_windows(texts[:-1], 200) + [(100_000, 100_000, 1, b"")]
+    assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for i, w in enumerate(want)}
+
+
 def test_run_index_by_brute_force():
     rng = np.random.default_rng(0)
     for trial in range(60):
