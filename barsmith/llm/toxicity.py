@@ -6,6 +6,7 @@ import heapq
 import pickle
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, bounded_batches, cut, table, tidy, utf8
 
-#: Tokens a chain has at most; longer texts are chains end to end.
-CHAIN = 64
+#: Tokens of a block: a text's blocks are worked on side by side, and messages carried from one to the next.
+BLOCK = 64
 SAMPLE_DOCS = 5000
 SAMPLE_BYTES = 25_000_000
 LEXICON = 20_000
+#: Features that a model keeps, those with the largest weights.
+FEATURES = 50_000
 #: Scores from here on say toxic.
 THRESHOLD = 0.3
 STRIP = b".,;:!?\"'()[]{}<>*_-\xc2\xab\xbb"
@@ -43,9 +46,9 @@ _TOKEN = re.compile(WORD)
 
 @dataclass
 class Model:
-    """word: emission score of state 1 by word; bias for words outside; trans[a, b]; document logistic (weights, offset)."""
+    """feature: weight by feature of a token; bias; trans[a, b]; document logistic's weights. State 1 is toxic; state 0 scores 0."""
 
-    word: dict[bytes, float]
+    feature: dict[bytes, float]
     bias: float
     trans: np.ndarray
     document: np.ndarray
@@ -61,68 +64,124 @@ def forms(word: bytes) -> list[bytes]:
     return [word, *((text[:n] + "*").encode() for n in STEMS if len(text) > n)]
 
 
-class Emissions(dict):
-    """Lower-case stretch of text to emission score: that of the most particular listed form of the word in it."""
+def traits(raw: bytes) -> list[bytes]:
+    """What a token's emission sees of itself: its word, the word's first and last three to five bytes, and its shape."""
+    word = raw.strip(STRIP)
+    n = len(word)
+    shape = b"s%d%d%d%d%d" % (min(n, 20) // 4, word.isalpha(), word.isdigit(), word.isascii(), raw == word)
+    out = [b"w" + word, shape]
+    if n > 3:
+        out += (b"<" + word[:3], word[-3:] + b">")
+        if n > 4:
+            out += (b"<" + word[:4], word[-4:] + b">")
+            if n > 5:
+                out += (b"<" + word[:5], word[-5:] + b">")
+    return out
 
-    def __init__(self, model: Model, limit: int = 400_000) -> None:
-        self.word, self.bias, self.limit = model.word, model.bias, limit
-
-    def __missing__(self, raw: bytes) -> float:
-        value = next((self.word[f] for f in forms(raw.strip(STRIP)) if f in self.word), self.bias)
-        if len(raw) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[raw] = value
-        return value
 
+def beside(raw: bytes) -> tuple[bytes, bytes]:
+    """What the next and the previous token's emissions see of a token."""
+    word = raw.strip(STRIP)
+    return b"p" + word, b"n" + word
 
-def _logadd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
 
+class Emissions(dict):
+    """Lower-case stretch of text to its number; scores[number] holds what it adds to its own emission, the next one's and the previous one's."""
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains in rows, padded at the end. P(state 1) of each token, log Z, and the expected transitions.
+    def __init__(self, model: Model, limit: int = 400_000) -> None:
+        self.model, self.limit, self.scores = model, limit, array("d")
 
-    State 0 emits 0. Works on the difference of the states' log messages, a number a token, for all chains at a time.
+    def __missing__(self, raw: bytes) -> int:
+        get = self.model.feature.get
+        after, before = beside(raw)
+        self.scores.extend((self.model.bias + sum([get(f, 0.0) for f in traits(raw)]), get(after, 0.0), get(before, 0.0)))
+        number = self[raw] = len(self)
+        return number
+
+    def of(self, words_: list[bytes]) -> np.ndarray:
+        """The emission score of each word of a text."""
+        if len(self) >= self.limit:
+            self.clear()
+            self.scores = array("d")
+        numbers = np.fromiter(map(self.__getitem__, words_), np.int64, len(words_))
+        return together(np.frombuffer(self.scores).reshape(-1, 3)[numbers] if len(words_) else np.zeros((0, 3)))
+
+
+def together(scores: np.ndarray) -> np.ndarray:
+    """Emissions of a text's tokens from their own scores and their neighbours'."""
+    out = scores[:, 0].copy()
+    out[1:] += scores[:-1, 1]
+    out[:-1] += scores[1:, 2]
+    return np.clip(out, -25, 25)
+
+
+def forward_backward(emits: list[np.ndarray], trans: np.ndarray, block: int = BLOCK) -> tuple[list[np.ndarray], np.ndarray]:
+    """P(state 1) of each token of each chain, and the expected transitions over all chains. State 0 emits 0.
+
+    A chain is cut into blocks. All blocks' transfer matrices are built side by side, a token a step; the
+    messages into each block are carried along its chain by these, a block a step; then the messages inside run side by side. So the
+    result is that of the whole chain, whatever its length.
     """
-    n, t = emit.shape
-    (a, b), (c, d) = trans  # 0->0, 0->1, 1->0, 1->1
-    fwd, bwd = np.zeros((t, n)), np.zeros((t, n))  # log ratio of state 1 to 0, with and without the token's own emission
-    log_z = np.zeros(n)
-    e, m = emit.T.copy(), mask.T
-    x = e[0].copy()
+    sizes = np.array([len(e) for e in emits], np.int64)
+    counts = -(-sizes // block)
+    n, first = int(counts.sum()), np.cumsum(counts) - counts
+    if not n:
+        return [np.zeros(0) for _ in emits], np.zeros((2, 2))
+    start = np.cumsum(sizes) - sizes
+    at = np.repeat(first * block - start, sizes) + np.arange(sizes.sum())
+    e, mask = np.ones(n * block), np.zeros(n * block, bool)
+    e[at], mask[at] = np.exp(np.concatenate(emits)), True
+    e, mask = np.ascontiguousarray(e.reshape(n, block).T), np.ascontiguousarray(mask.reshape(n, block).T)
+    (a, b), (c, d) = np.exp(trans)  # 0->0, 0->1, 1->0, 1->1
+    opens = np.zeros(n, bool)
+    opens[first[counts > 0]] = True
+
+    into = np.ones((n, 2))  # forward message before a block
+    after = np.ones((n, 2))  # backward message behind it
+    longest = int(counts.max())
+    if longest > 1:
+        m = np.empty((4, n))  # rows of the matrix one after the other
+        m[0], m[1], m[2], m[3] = np.where(opens, 1.0, a), np.where(opens, 0.0, b) * e[0], np.where(opens, 0.0, c), np.where(opens, 1.0, d) * e[0]
+        for i in range(1, block):
+            new = np.stack([m[0] * a + m[1] * c, (m[0] * b + m[1] * d) * e[i], m[2] * a + m[3] * c, (m[2] * b + m[3] * d) * e[i]])
+            m = np.where(mask[i], new / new.max(0), m)
+        order = np.argsort(-counts, kind="stable")
+        head, length = first[order], counts[order]
+        for j in range(1, longest):
+            row = head[: int(np.searchsorted(-length, -j))] + j  # chains with more than j blocks
+            v, k = into[row - 1], m[:, row - 1]
+            v = np.stack([v[:, 0] * k[0] + v[:, 1] * k[2], v[:, 0] * k[1] + v[:, 1] * k[3]], 1)
+            into[row] = v / v.max(1, keepdims=True)
+        for j in range(longest - 1, 0, -1):
+            row = head[: int(np.searchsorted(-length, -j))] + j
+            u, k = after[row], m[:, row]
+            u = np.stack([k[0] * u[:, 0] + k[1] * u[:, 1], k[2] * u[:, 0] + k[3] * u[:, 1]], 1)
+            after[row - 1] = u / u.max(1, keepdims=True)
+
+    tiny = 1e-200
+    fwd, bwd = np.empty((block, n)), np.empty((block, n))  # ratios of state 1 to 0, with and without the token's own emission
+    enter = into[:, 1] / np.maximum(into[:, 0], tiny)
+    x = np.where(opens, 1.0, (b + enter * d) / (a + enter * c)) * e[0]
     fwd[0] = x
-    for i in range(1, t):
-        to0, to1 = _logadd(np.full(n, a), x + c), _logadd(np.full(n, b), x + d)
-        x = np.where(m[i], to1 - to0 + e[i], x)
-        log_z += np.where(m[i], to0, 0.0)
+    for i in range(1, block):
+        x = (b + x * d) / (a + x * c) * e[i]
         fwd[i] = x
-    log_z += _logadd(np.zeros(n), x)
-    y = np.zeros(n)
-    for i in range(t - 2, -1, -1):
-        z = y + e[i + 1]
-        y = np.where(m[i + 1], _logadd(np.full(n, c), z + d) - _logadd(np.full(n, a), z + b), 0.0)
+    y = after[:, 1] / np.maximum(after[:, 0], tiny)
+    bwd[block - 1] = y
+    for i in range(block - 2, -1, -1):
+        z = y * e[i + 1]
+        y = np.where(mask[i + 1], (c + d * z) / (a + b * z), y)
         bwd[i] = y
-    p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -60, 60))) * m
-    if t > 1:
-        with_next = m[1:]
-        z = bwd[1:] + e[1:]
-        s = np.stack([np.full_like(z, a), b + z, fwd[:-1] + c, fwd[:-1] + z + d])
-        s -= s.max(0)
-        s = np.exp(s)
-        s /= s.sum(0)
-        pairs = (s * with_next).sum((1, 2)).reshape(2, 2)
-    else:
-        pairs = np.zeros((2, 2))
-    return p.T, log_z, pairs
-
-
-def chains(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One text's tokens in rows of CHAIN."""
-    n = -(-len(emit) // CHAIN)
-    out, mask = np.zeros(n * CHAIN), np.zeros(n * CHAIN, bool)
-    out[: len(emit)], mask[: len(emit)] = emit, True
-    return out.reshape(n, CHAIN), mask.reshape(n, CHAIN)
+    both = fwd * bwd
+    p = np.ascontiguousarray((both / (1 + both)).T).ravel()[at]
+
+    before = np.concatenate([enter[None], fwd[:-1]])
+    z = bwd * e
+    linked = mask.copy()
+    linked[0] &= ~opens
+    s = np.stack([np.full_like(z, a), b * z, before * c, before * z * d])
+    pairs = np.where(linked, s / s.sum(0), 0.0).sum((1, 2)).reshape(2, 2)
+    return np.split(p, np.cumsum(sizes)[:-1]), pairs
 
 
 def features(p: np.ndarray) -> np.ndarray:
@@ -139,14 +198,15 @@ def _sigmoid(x: Any) -> Any:
 
 
 class Numbers(dict):
-    """Stretch of text to the number of the word in it; words are kept once."""
+    """Stretch of text to its number; word: the number of the word in it, words being kept once."""
 
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.word: list[int] = []
 
     def __missing__(self, raw: bytes) -> int:
-        word = raw.strip(STRIP)
-        value = self[raw] = self.index.setdefault(word, len(self.index))
+        self.word.append(self.index.setdefault(raw.strip(STRIP), len(self.index)))
+        value = self[raw] = len(self)
         return value
 
 
@@ -215,11 +275,13 @@ def lexicon(docs: list[np.ndarray], vocabulary: list[bytes], y: np.ndarray, leas
     return out
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 60, least: int = 5) -> Model:
+def fit(texts: list[bytes], labels: list[int], rounds: int = 40, least: int = 5) -> Model:
     """Learn token labels from document labels, the field from the labelled tokens, and the document score.
 
     A token of a toxic document is labelled toxic when a form of its word is in the lexicon that the
-    documents' labels give. The field's emissions and transitions climb its likelihood on the labelled tokens.
+    documents' labels give. The field's emissions are weights of a token's traits and of the words beside it; they and the
+    transitions climb the labels' likelihood by its gradient, expected less observed counts over all tokens, scaled
+    by Adam. So the lexicon labels the field's examples and no more: traits that listed words share tag words that it doesn't hold.
     """
     y = np.asarray(labels)
     if len(y) == 0 or y.min() == y.max():
@@ -227,44 +289,73 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, least: int = 5)
         return Model({}, -4.0, np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
     numbers = Numbers()
     docs = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in map(words, texts)]
+    kinds, word = list(numbers), np.array(numbers.word, np.int32)
     vocabulary = list(numbers.index)
     del numbers
-    seeds = lexicon(docs, vocabulary, y, least)
-    # Emissions start from the odds; the field is then fitted on tokens labelled by document and word.
-    index = {w: i + 1 for i, w in enumerate(sorted(seeds))}
-    weight = np.array([-4.0, *[seeds[w] for w in sorted(seeds)]])
-    listed = np.fromiter((next((index[f] for f in forms(w) if f in index), 0) for w in vocabulary), np.int64, len(vocabulary))
-    rows, tags, masks = [], [], []
-    for d, label in zip(docs, y, strict=True):
-        ids = listed[d]
-        if not len(ids) or not ids.any():
-            continue
-        ids, mask = chains(ids)
-        hit = (ids > 0).any(1)  # chains with no listed word say nothing new
-        rows.append(ids[hit].astype(np.int64))
-        tags.append((ids[hit] > 0) & bool(label))
-        masks.append(mask[hit])
-    trans = np.zeros((2, 2))
-    if rows:
-        ids, tag, mask = np.concatenate(rows), np.concatenate(tags), np.concatenate(masks)
-        flat, n = ids.ravel(), len(weight)
-        seen = np.bincount(flat, weights=mask.ravel(), minlength=n)
-        want = np.bincount(flat, weights=(tag & mask).ravel(), minlength=n)
-        pair = np.zeros((2, 2))
-        inner = mask[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                pair[a, b] = ((tag[:, :-1] == a) & (tag[:, 1:] == b) & inner).sum()
-        for _ in range(rounds):
-            p, _, pairs = forward_backward(weight[ids], mask, trans)
-            have = np.bincount(flat, weights=(p * mask).ravel(), minlength=n)
-            weight += 0.5 * np.clip(np.log((want + 0.3) / (have + 0.3)), -1, 1) * (seen > 0)
-            step = np.clip(np.log((pair + 1.0) / (pairs + 1.0)), -1, 1)
-            trans += 0.2 * (step - step.mean())
-            trans = np.clip(trans, -6, 6)
-        weight = np.clip(weight, -12, 8)
-    model = Model({w: float(weight[i]) for w, i in index.items()}, float(weight[0]), trans, np.zeros(4))
-    x = np.stack([features(marginals(t, Emissions(model), model)[1]) for t in texts])
+    seeds = lexicon([word[d] for d in docs], vocabulary, y, least)
+    listed = np.fromiter((any(f in seeds for f in forms(w)) if w else False for w in vocabulary), bool, len(vocabulary))[word]
+    sizes = np.array([len(d) for d in docs])
+    tokens = np.concatenate(docs)
+    tag = listed[tokens] & np.repeat(y == 1, sizes)
+    ends = np.cumsum(sizes)
+    opens, closes = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+    opens[(ends - sizes)[sizes > 0]] = closes[(ends - 1)[sizes > 0]] = True
+
+    # features: kinds of tokens by rows, numbers of their features by columns; 0 stands for none
+    index: dict[bytes, int] = {b"": 0}
+    own = [[index.setdefault(f, len(index)) for f in traits(k)] for k in kinds]
+    wide = np.zeros((len(kinds), max(map(len, own))), np.int32)
+    for i, f in enumerate(own):
+        wide[i, : len(f)] = f
+    after, before = (np.fromiter((index.setdefault(beside(k)[i], len(index)) for k in kinds), np.int32, len(kinds)) for i in (0, 1))
+    names = list(index)
+    seen = np.bincount(tokens, minlength=len(kinds))
+    n_seen = np.bincount(wide.ravel(), weights=np.repeat(seen, wide.shape[1]), minlength=len(names)) + np.bincount(after, weights=seen, minlength=len(names)) + np.bincount(before, weights=seen, minlength=len(names))
+    n_kinds = np.bincount(wide.ravel(), minlength=len(names))
+    affix = np.fromiter((x[:1] == b"<" or x[-1:] == b">" for x in names), bool, len(names))
+    near = np.fromiter((x[:1] in (b"p", b"n") for x in names), bool, len(names))
+    usable = (n_seen >= least) & ~(affix & (n_kinds < 2))
+    usable[0] = False
+    ridge = np.where(affix, 4.0, np.where(near, 8.0, 0.5))
+
+    weight, bias, trans = np.zeros(len(names)), np.log((tag.sum() + 1) / (len(tag) + 2)), np.zeros((2, 2))
+    observed = np.zeros((2, 2))
+    linked = ~opens[1:]
+    for i in (0, 1):
+        for j in (0, 1):
+            observed[i, j] = ((tag[:-1] == i) & (tag[1:] == j) & linked).sum()
+    follows, precedes = np.flatnonzero(~opens), np.flatnonzero(~closes)
+    ahead, behind = tokens[follows - 1], tokens[precedes + 1]
+
+    def marginals() -> tuple[list[np.ndarray], np.ndarray]:
+        emit = (bias + weight[wide].sum(1))[tokens]
+        emit[follows] += weight[after][ahead]
+        emit[precedes] += weight[before][behind]
+        return forward_backward(np.split(np.clip(emit, -25, 25), ends[:-1]), trans)
+
+    moment = [np.zeros(len(names) + 5), np.zeros(len(names) + 5)]
+    for step in range(1, rounds + 1):
+        ps, pairs = marginals()
+        miss = tag - np.concatenate(ps)
+        by_kind = np.bincount(tokens, weights=miss, minlength=len(kinds))
+        by_after = np.bincount(ahead, weights=miss[follows], minlength=len(kinds))
+        by_before = np.bincount(behind, weights=miss[precedes], minlength=len(kinds))
+        grad = np.bincount(wide.ravel(), weights=np.repeat(by_kind, wide.shape[1]), minlength=len(names))
+        grad += np.bincount(after, weights=by_after, minlength=len(names)) + np.bincount(before, weights=by_before, minlength=len(names))
+        grad = np.concatenate([np.where(usable, grad - ridge * weight, 0.0), [miss.sum()], (observed - pairs).ravel() - 0.5 * trans.ravel()])
+        moment[0] = 0.9 * moment[0] + 0.1 * grad
+        moment[1] = 0.99 * moment[1] + 0.01 * grad**2
+        move = (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-6)
+        move *= 0.5 * (1 - 0.9 * step / rounds)
+        weight += move[: len(names)]
+        bias += move[len(names)]
+        trans = np.clip(trans + move[len(names) + 1 :].reshape(2, 2), -6, 6)
+    best = np.argsort(-np.abs(weight), kind="stable")[:FEATURES]
+    small = np.ones(len(names), bool)
+    small[best] = False
+    weight[small | (np.abs(weight) < 1e-3)] = 0.0
+    model = Model({names[i]: float(weight[i]) for i in best if weight[i]}, float(bias), trans, np.zeros(4))
+    x = np.stack([features(p) for p in marginals()[0]])
     beta = np.zeros(4)
     for _ in range(50):  # Newton steps with a ridge
         q = _sigmoid(x @ beta)
@@ -275,46 +366,6 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 60, least: int = 5)
     return model
 
 
-def marginals(text: bytes, emissions: Emissions, model: Model) -> tuple[list[bytes], np.ndarray]:
-    w = words(text)
-    if not w:
-        return w, np.zeros(0)
-    emit = np.fromiter(map(emissions.__getitem__, w), np.float64, len(w))
-    e, mask = chains(emit)
-    p, _, _ = forward_backward(e, mask, model.trans)
-    return w, p[mask]
-
-
-def batch_marginals(emits: list[np.ndarray], model: Model) -> list[np.ndarray]:
-    """Marginals of many texts. Chains in which every token is an unlisted word are alike but for their length, and are solved once a length."""
-    rows, counts = [], []
-    for e in emits:
-        c, m = chains(e) if len(e) else (np.zeros((0, CHAIN)), np.zeros((0, CHAIN), bool))
-        rows.append((c, m))
-        counts.append(len(c))
-    total = sum(counts)
-    if not total:
-        return [np.zeros(0) for _ in emits]
-    emit, mask = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    plain = ((emit == model.bias) | ~mask).all(1)
-    length = mask.sum(1)
-    p = np.zeros_like(emit)
-    some = np.flatnonzero(~plain)
-    for a in range(0, len(some), 4096):
-        at = some[a : a + 4096]
-        p[at] = forward_backward(emit[at], mask[at], model.trans)[0]
-    if plain.any():
-        kinds = np.arange(1, CHAIN + 1)
-        shape = np.arange(CHAIN)[None] < kinds[:, None]
-        alike = forward_backward(np.where(shape, model.bias, 0.0), shape, model.trans)[0]
-        p[plain] = alike[length[plain] - 1]
-    out, at = [], 0
-    for n in counts:
-        out.append(p[at : at + n][mask[at : at + n]])
-        at += n
-    return out
-
-
 def spans(text: bytes, p: np.ndarray, most: float = 0.5) -> list[tuple[int, int]]:
     """Code point offsets of maximal runs of tokens whose marginal is at least `most`."""
     out: list[tuple[int, int]] = []
@@ -380,22 +431,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     table gives an empty one, and other columns don't matter. No shuffle.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
     source = docs.select(F.col(id_col).alias("_tx_id"), F.col(text_col).alias("_tx_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         emissions = Emissions(model)
-        get = emissions.__getitem__
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                emits = []
-                for text in utf8(part.column(1)):
-                    w = words(text)
-                    emits.append(np.fromiter(map(get, w), np.float64, len(w)))
-                ps = batch_marginals(emits, model)
+                ps, _ = forward_backward([emissions.of(words(t)) for t in utf8(part.column(1))], model.trans)
                 scores = _sigmoid(np.stack([features(p) for p in ps]) @ model.document)
                 found = [[{"start": s, "end": e} for s, e in spans(text, p, most)] if p.max(initial=0) >= most else [] for text, p in zip(utf8(part.column(1)), ps, strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(scores), pa.array(found, pa.list_(kind))], ["_tx_id", "score", "spans"])
@@ -415,8 +461,8 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                emits = [np.fromiter(map(emissions.__getitem__, w), np.float64, len(w)) for w in map(words, utf8(part.column(at)))]
-                scores = _sigmoid(np.stack([features(p) for p in batch_marginals(emits, shared.value)]) @ shared.value.document)
+                ps, _ = forward_backward([emissions.of(words(t)) for t in utf8(part.column(at))], shared.value.trans)
+                scores = _sigmoid(np.stack([features(p) for p in ps]) @ shared.value.document)
                 yield part.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(tidy(run), docs.schema)

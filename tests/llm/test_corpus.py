@@ -390,19 +390,54 @@ def test_base_spans_equal_the_plain_rule():
 # --- toxicity
 
 
-def test_crf_marginals_by_enumeration():
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_crf_marginals_by_enumeration(block):
+    """Chains of many lengths, whole and over block ends."""
     rng = np.random.default_rng(2)
-    emit, trans = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
-    mask = np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [1, 0, 0, 0, 0]], bool)
-    p, log_z, _ = toxicity.forward_backward(emit, mask, trans)
-    for r in range(3):
-        n = mask[r].sum()
-        total, at = 0.0, np.zeros(n)
+    emits, trans = [rng.normal(size=n) * 2 for n in (5, 0, 3, 1, 9, 8, 2)], rng.normal(size=(2, 2))
+    ps, pairs = toxicity.forward_backward(emits, trans, block)
+    want_pairs = np.zeros((2, 2))
+    for emit, p in zip(emits, ps, strict=True):
+        n = len(emit)
+        total, at, links = 0.0, np.zeros(n), np.zeros((2, 2))
         for tags in np.ndindex(*[2] * n):
-            w = np.exp(sum(emit[r, i] * t for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:])))
+            w = np.exp(sum(emit[i] * t for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:])))
             total += w
             at += w * np.array(tags)
-        assert np.allclose(p[r, :n], at / total) and log_z[r] == pytest.approx(np.log(total))
+            for a, b in zip(tags, tags[1:]):
+                links[a, b] += w
+        assert np.allclose(p, at / total)
+        want_pairs += links / total
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_messages_reach_over_blocks():
+    """With sticky states, a strong token at the front decides tokens far behind it."""
+    emit = np.zeros(200)
+    emit[0] = 20.0
+    trans = np.array([[6.0, -6.0], [-6.0, 6.0]])
+    p = toxicity.forward_backward([emit], trans)[0][0]
+    assert p.min() > 0.98
+    assert np.allclose(p, toxicity.forward_backward([emit], trans, 512)[0][0])
+
+
+def test_field_tags_words_that_the_lexicon_does_not_hold():
+    rng = random.Random(18)
+    plain = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "tempor", "quokka", "zebra", "kudu", "ferret"]
+    texts, labels = [], []
+    for i in range(800):
+        w = rng.choices(plain, k=rng.randrange(8, 60))
+        for _ in range(3 if i % 3 == 0 else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["grum", "zil", "bro", "fen", "tok", "wap"]) + "vexxik")
+        texts.append(" ".join(w).encode())
+        labels.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, labels)
+    new = b"lorem ipsum quuvexxik dolor sit"
+    assert b"wquuvexxik" not in model.feature
+    p = toxicity.forward_backward([toxicity.Emissions(model).of(toxicity.words(new))], model.trans)[0][0]
+    assert p[2] > 0.5 and max(p[[0, 1, 3, 4]]) < 0.2
+    clean = toxicity.forward_backward([toxicity.Emissions(model).of(toxicity.words(b"lorem ipsum quuxxxpor dolor sit"))], model.trans)[0][0]
+    assert clean.max() < 0.2
 
 
 def test_toxicity_holds_out_and_finds_spans(spark):
