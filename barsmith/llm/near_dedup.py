@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut, table, tidy, utf8, written
+from ._common import bounded_batches, table, tidy, utf8, written
 
 #: Hash values a sketch keeps; the first INDEXED of them make the inverted lists of all documents, the first COMPARED the estimate.
 KEPT, INDEXED, COMPARED = 64, 12, 32
@@ -129,12 +129,11 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 class _Links:
-    """Verified links and the components they make, so far."""
+    """The components that verified links make, so far. Every step is a written table: joins then know sizes, and small sides are broadcast."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> None:
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.reps, self.width, self.percent = reps, width, percent
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, col: str, out: str) -> DataFrame:
@@ -146,7 +145,7 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         """Estimate, verify and take in candidate pairs (a, b); pairs already in a component are not looked at."""
-        pairs = self.labelled(self.labelled(pairs.distinct(), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+        pairs = self.labelled(self.labelled(pairs.distinct(), "a", "ca"), "b", "cb").filter("ca <> cb")
         short = self.reps.select("id", "n", F.slice("sketch", 1, COMPARED).alias("s"))
         pairs = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
         pairs = pairs.join(short.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b").filter(_alike(F.col("na"), F.col("nb"), self.percent))
@@ -156,22 +155,18 @@ class _Links:
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, COMPARED)
         shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
         least = COMPARED + 1 - upper_tail(COMPARED, 1 - self.percent / 100, MISS)
-        pairs = pairs.withColumn("u", union).filter(F.when(whole, both * 100 >= (F.col("na") + F.col("nb") - both) * self.percent).otherwise(shared >= least)).select("a", "b")
-        pairs = cut(pairs)
-        found = cut(self.verified(pairs))
-        if found.isEmpty():
-            return
-        self.links = found if self.links is None else self.links.unionAll(found)
-        self.labels = components(self.links)
+        pairs = pairs.withColumn("u", union).filter(F.when(whole, both * 100 >= (F.col("na") + F.col("nb") - both) * self.percent).otherwise(shared >= least))
+        pairs, drop = written(pairs.select("a", "b", "ca", "cb"))
+        if not pairs.isEmpty():
+            self.take(self.verified(pairs))
+        drop()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full shingle sets are alike enough."""
-        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        if needed.count() <= MOST_BROADCAST:
-            needed = F.broadcast(needed)
-        texts = cut(self.texts.join(needed, "id", "left_semi"))
+        """The components (ca, cb) of the pairs whose full shingle sets are alike enough."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts, drop = written(self.texts.join(F.broadcast(needed) if pairs.count() * 2 <= MOST_BROADCAST else needed, "id", "left_semi"))
         width, percent = self.width, self.percent
-        joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("ca", "cb", "ta", "tb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -179,36 +174,51 @@ class _Links:
                 for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                     both, union = shingle_counts(words(x), words(y), width)
                     good.append(both > 0 and 100 * both >= percent * union)
-                yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                yield pa.record_batch([batch.column(0), batch.column(1)], ["ca", "cb"]).filter(pa.array(good, pa.bool_()))
 
-        return joined.mapInArrow(tidy(run), "a long, b long").distinct()
+        good, _ = written(joined.mapInArrow(tidy(run), "ca long, cb long").distinct())
+        drop()
+        return good
+
+    def take(self, links: DataFrame) -> None:
+        """Merge the components that links (ca, cb) join."""
+        if links.isEmpty():
+            return
+        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        if self.labels is None:
+            self.labels = merged
+            return
+        to = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+        moved = self.labels.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        new = merged.join(self.labels.select("id"), "id", "left_anti").select("id", "comp")
+        self.labels, _ = written(moved.unionAll(new))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that links reach. Labels travel along the links and to their label's label; every round is a written table."""
     both, drop_both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels, drop = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    total = None
+    total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).head()[0]  # falls with every change
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").select(F.col("a").alias("id"), "comp")
         jump = labels.select("id", F.col("comp").alias("at")).join(labels.select(F.col("id").alias("at"), "comp"), "at").select("id", "comp")
         moved, drop_moved = written(near.unionAll(jump).groupBy("id").agg(F.min("comp").alias("comp")))
         drop()
         labels, drop = moved, drop_moved
-        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).head()[0]  # falls with every change
+        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).head()[0]
         if now == total:
             break
         total = now
-    out = cut(labels)
-    drop()
     drop_both()
-    return out
+    return labels
 
 
 def _lists(entries: DataFrame) -> DataFrame:
     """(v, id, n, c, hub): the inverted lists, of two documents or more, of entries (id, n, v); c documents, of which hub has the smallest id."""
-    sizes = cut(entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).filter("c > 1"))
-    return cut(entries.join(sizes, "v"))
+    sizes, drop = written(entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).filter("c > 1"))
+    lists, _ = written(entries.join(sizes, "v"))
+    drop()
+    return lists
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -221,9 +231,8 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _listed(state: _Links, entries: DataFrame) -> DataFrame:
     """Take in the candidates of the inverted lists of entries: every document with its list's hub, and all pairs of short lists. Returns the lists."""
     lists = _lists(entries)
-    if not lists.isEmpty():
-        state.add(lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        state.add(_short_pairs(lists, state.percent))
+    hubs = lists.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    state.add(hubs.unionAll(_short_pairs(lists, state.percent)))
     return lists
 
 
@@ -237,9 +246,9 @@ def _unsafe(docs: DataFrame, lists: DataFrame, ranks: int, percent: int) -> Data
     probability 1 - s reaches with a chance of MISS is safe but for that chance, whatever is common to its text and others.
     """
     common = lists.filter(F.col("c") > SHORT).groupBy("id").agg(F.count(F.lit(1)).alias("common"))
-    rare = F.size(F.slice("sketch", 1, ranks)) - F.coalesce("common", F.lit(0))
+    rare = F.size(F.slice("sketch", 1, ranks)) - F.col("common")
     need = F.least(F.lit(upper_tail(ranks, 1 - percent / 100, MISS)), F.floor(F.col("n") * (100 - percent) / percent) + 1)
-    return cut(docs.join(common, "id", "left").filter(F.col("common").isNotNull() & (rare < need)).select("id", "n", "sketch"))
+    return written(docs.join(common, "id").filter(rare < need).select("id", "n", "sketch"))[0]
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -249,11 +258,11 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     one order of all values; here the number of sets that hold a value, then the value. Values of one set only take their places and are left out.
     """
     entries = sets.select("id", "n", F.explode("v").alias("v"))
-    held = cut(entries.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
+    held = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     own = W.partitionBy("id")
     ranked = entries.join(held, "v").withColumn("k", F.row_number().over(own.orderBy("f", "v"))).withColumn("m", F.count(F.lit(1)).over(own))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return cut(ranked.filter(F.col("k") <= prefix - (F.col("n") - F.col("m"))).select("id", "n", "v"))
+    return written(ranked.filter(F.col("k") <= prefix - (F.col("n") - F.col("m"))).select("id", "n", "v"))[0]
 
 
 def _stragglers(state: _Links, sets: DataFrame, lists: DataFrame) -> DataFrame:
@@ -265,12 +274,12 @@ def _stragglers(state: _Links, sets: DataFrame, lists: DataFrame) -> DataFrame:
     """
     percent = state.percent
     members = lists.filter(F.col("c") > SHORT).select("hub", "id", "n").distinct()
-    placed = cut(state.labelled(members, "id", "comp").withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")))
+    placed = written(state.labelled(members, "id", "comp").withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")))[0]
     hubs = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("hub", "top")
-    rows = cut(placed.join(hubs, "hub").withColumn("out", F.col("comp") != F.col("top")).drop("top"))
+    rows = written(placed.join(hubs, "hub").withColumn("out", F.col("comp") != F.col("top")).drop("top"))[0]
     blocks = rows.groupBy("hub", "s").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("n_in"), F.ceil(F.sum(F.when(F.col("out"), F.col("n"))) / BLOCK_VALUES).cast("int").alias("n_out"))
     outer = blocks.filter("n_out > 0").select("hub", F.col("s").alias("so"), "n_out", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-    cells = cut(blocks.select("hub", "s", "n_in").join(outer, ["hub", "s"]))
+    cells = written(blocks.select("hub", "s", "n_in").join(outer, ["hub", "s"]))[0]
     rows = rows.join(sets.select("id", "v"), "id")
     # columns of the outside get attributes of their own: both sides come from the same rows
     inside = rows.join(cells, ["hub", "s"]).select("hub", "id", "comp", "v", "s", F.pmod(F.xxhash64("id"), "n_in").cast("int").alias("i"), "so", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("o"))
@@ -326,8 +335,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Returns id_col, n_shingles, component_id, kept.
     """
     bounded_batches(docs.sparkSession)
-    rows = cut(sketches(docs, id_col, text_col, width))
-    reps = cut(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sketch", "id").alias("sketch")))
+    rows, _ = written(sketches(docs, id_col, text_col, width))
+    reps, _ = written(rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sketch", "id").alias("sketch")))
     state = _Links(docs, reps, id_col, text_col, width, percent)
     rest = reps
     for ranks in (INDEXED, KEPT):
@@ -338,11 +347,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     else:
         few = rest.select("id")
         few = F.broadcast(few) if rest.count() <= MOST_BROADCAST else few
-        sets = cut(full_sets(state.texts.join(few, "id", "left_semi"), width).distinct())  # an id with several texts has several sets
+        sets, _ = written(full_sets(state.texts.join(few, "id", "left_semi"), width).distinct())  # an id with several texts has several sets
         lists = _listed(state, _prefixes(sets, percent))
         if not lists.filter(F.col("c") > SHORT).isEmpty():
             state.add(_stragglers(state, sets, lists))
-    by_key = cut(state.labelled(reps.select("id", "key"), "id", "comp").select("key", "comp"))
+    by_key = state.labelled(reps.select("id", "key"), "id", "comp").select("key", "comp")
     out = rows.select("id", "n", "key").join(by_key, "key", "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(component)
