@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ._common import cut, table
 
-PIVOTS = 64
+#: Pivots: about a quarter of the square root of the number of vectors, between these bounds.
+PIVOTS = (16, 1024)
 BLOCK_ROWS = 4096
+#: Queries that meet a block in one task, about; more are dealt out to as many tasks as needed.
+QUERY_ROWS = 20_000
 #: Bounds are floating-point; they get this much slack, so that none cuts off a true answer.
 SLACK = 1e-6
 
@@ -92,11 +96,12 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, pivots: int | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Each query's k highest inner products over all other rows; ties to the smaller id.
 
     vec_col holds integer arrays. Every vector goes to the cell of its nearest pivot; pivots are a bounded
-    sample (the `pivots` rows whose ids hash lowest, collected). A cell's summary is its row count and radius. In
+    sample (the `pivots` rows whose ids hash lowest, collected; by default a quarter of the square root of the
+    number of rows, 16 to 1,024). A cell's summary is its row count and radius. In
     cell j a product is at most q.p_j + |q| r_j and at least q.p_j - |q| r_j. First each query is solved in the
     cell with the best upper bound, which gives a floor under its k-th score; the summaries give another: the
     score that cells with k + 1 rows in all can't fall below. Then the query is sent to those other cells only whose
@@ -104,8 +109,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     a hot cell is many tasks; queries are replicated to the blocks, rows are moved once a round.
 
     Vectors that are null, that hold null, or whose length isn't the table's commonest (ties: the longest) take
-    no part. Rows with the query's own id are its own row, so repeated ids don't find each other; repeated candidates
-    are candidates each. Fewer candidates give fewer rows; an empty table gives none. Other columns don't matter.
+    no part. Rows with the query's own id are its own row, so repeated ids don't find each other, and the least of their
+    vectors, component by component, is the query; repeated candidates are candidates each. Fewer candidates give fewer rows; an empty table gives none. Other columns don't matter.
 
     Returns query_id, rank, vec_id, score.
     """
@@ -116,6 +121,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     if length is None or not length["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.filter(F.size("vec") == length["n"])
+    if pivots is None:
+        pivots = int(min(max(math.sqrt(length["count"]) / 4, PIVOTS[0]), PIVOTS[1]))
     chosen = rows.select("vec").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     centres = np.unique(np.array([r["vec"] for r in chosen], np.float64), axis=0)
 
@@ -173,11 +180,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     sent = "id long, vec array<long>, cell int, block int"
     n_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell") + 1)
     data = placed.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
-    queries = placed.filter("is_query").select("id", "vec").dropDuplicates(["id"])
+    # of rows with one id the first by its components is the query
+    queries = placed.filter("is_query").groupBy("id").agg(F.min("vec").alias("vec"))
     solve = _table_solve(k)
 
     def joined(q: DataFrame) -> DataFrame:
-        return q.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(solve, PAIRS)
+        # queries of a block are dealt out too, and the block goes with each part
+        q = cut(q)
+        parts = q.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("parts"))  # a row a block
+        key = ["cell", "block", "part"]
+        asked = q.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+        held = data.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(solve, PAIRS)
 
     near = cut(_ranked(joined(queries.mapInArrow(first, sent)), k))
     floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low").cast("double")).alias("floor"))
