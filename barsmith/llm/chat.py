@@ -94,6 +94,30 @@ def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[
     return flags, under
 
 
+def token_sizes(tok: Any) -> np.ndarray:
+    """Bytes of each token of a byte-level vocabulary: its characters stand for one byte each."""
+    return np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)
+
+
+def under_mask(formatted: str, ids: list[int], flags: list[bool], sizes: np.ndarray) -> str:
+    """The unescaped text under a loss mask, read back from the output alone.
+
+    The ids' sizes place the tokens in the formatted bytes; what masked tokens cover of the assistant turns that parsing finds is
+    the text. A token that begins or ends in a control string's space counts with its part inside the turn.
+    """
+    raw = formatted.encode()
+    under = np.repeat(np.array(flags, bool), sizes[np.array(ids, np.int64)])
+    if len(under) != len(raw):
+        raise ValueError("the ids do not spell the formatted text")
+    out, at, last = [], 0, 0
+    for m in _TURN.finditer(formatted):
+        if m[3]:
+            begin = at + len(formatted[last : m.start(3)].encode())
+            at, last = begin + len(m[3].encode()), m.end(3)
+            out.append(unescape(bytes(np.frombuffer(raw, np.uint8)[begin:at][under[begin:at]]).decode("utf-8", "replace")))
+    return "".join(out)
+
+
 def format_turns(turns: list[tuple[str, str]], tok: Any) -> dict[str, Any]:
     """Render, encode once, and mask one conversation."""
     formatted, spans = render(turns)
@@ -155,18 +179,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = token_sizes(load_tokenizer())
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, ids, flags in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 turns = parse(text)
-                loss = "".join(unescape(text[a:b]) for a, b in spans)
+                loss = under_mask(text, ids, flags, sizes)
                 read = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
                 for c, v in zip(cols, read, strict=True):
                     c.append(v)
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return format_chats(chats.unionByName(extra)).select("conv_id", "formatted", "loss_spans").mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return format_chats(chats.unionByName(extra)).select("conv_id", "formatted", "ids", "mask").mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: DuckDB: what reading back must give; formatted_chars follows from the template.

@@ -279,15 +279,15 @@ def test_substrings_empty(spark):
 # --- kNN
 
 
-@pytest.mark.parametrize("pivots, block", [(1, 4096), (5, 7)])
-def test_top_k(spark, pivots, block):
+@pytest.mark.parametrize("pivots, block, queries", [(1, 4096, 20_000), (5, 7, 2), (None, 50, 1)])
+def test_top_k(spark, pivots, block, queries):
     rng = np.random.default_rng(1)
     x = rng.integers(-50, 50, (300, 6))
     x[100:150] = x[100]
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1, None, 2, 3, 4, 5]), (902, [1, 2])]
     df = spark.createDataFrame(rows, "vec_id long, vec array<long>").withColumn("score", F.lit("clash"))
     got = defaultdict(list)
-    for r in knn.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=pivots, block_rows=block).collect():
+    for r in knn.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=pivots, block_rows=block, query_rows=queries).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     s = x @ x.T
     for q in range(0, 300, 20):
@@ -487,11 +487,15 @@ def test_chat_round_trip(spark):
     want = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         want[c].append((role or "", text or ""))
+    sizes = chat.token_sizes(chat.load_tokenizer())
     for r in chat.format_chats(df).collect():
         assert chat.parse(r.formatted) == want[r.conv_id]
         under = "".join(chat.unescape(r.formatted[a:b]) for a, b in r.loss_spans)
         assert under == "".join(t for role, t in want[r.conv_id] if role == "assistant")
         assert len(r.ids) == len(r.mask) and any(r.mask) == bool(under)
+        assert chat.under_mask(r.formatted, r.ids, r.mask, sizes) == under
+        if any(r.mask):
+            assert chat.under_mask(r.formatted, r.ids, [False] * len(r.ids), sizes) == ""
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
