@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op4_knn": knn.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_sharding": sharding.SQL, "op4_knn": knn.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -20,12 +21,27 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 LEAST_BYTES = 1 << 16
 RUNS_A_ROUND = 256
+#: Files that no version lists are left alone so long, in seconds: a writer may be about to commit them.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+class Replaced(RuntimeError):
+    """Another compaction has taken some of the shards."""
+
+
+def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
+    """old's columns, then those that only new has, nullable; ValueError if a column has two types."""
+    have = {f.name: f for f in old}
+    for f in new:
+        if f.name in have and have[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {have[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(f.name, f.dataType) for f in [*old, *(f for f in new if f.name not in have)]])
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -138,22 +154,28 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: Any = None) -> int:
         """Write rows as small shards and list them, one version an arrival.
 
-        arrival: a column that tells arrivals apart that come in one frame; each is committed on its own.
+        arrival: a column that tells arrivals apart that come in one frame; each is committed on its own. Rows may bring
+        new columns, which older rows have as null, and may lack columns; a column of another type is refused.
         """
-        schema = rows.schema.json()
-        folder = self._write(rows.withColumn("_sh_arrival", F.lit(0) if arrival is None else arrival), "_sh_arrival")
+        if now := self.manifest()["schema"]:
+            merged_schema(T.StructType.fromJson(json.loads(now)), rows.schema)
+        by = "_sh_arrival"
+        while by in rows.columns:
+            by += "_"
+        folder = self._write(rows.withColumn(by, F.lit(0) if arrival is None else arrival), by)
         new: dict[str, list[Shard]] = {}
         for s in self._listed(folder):
-            new.setdefault(s.path.split("_sh_arrival=")[1].split("/")[0], []).append(s)
+            new.setdefault(s.path.split(f"{by}=")[1].split("/")[0], []).append(s)
         for _, shards in sorted(new.items()) or [("", [])]:
-            self._retried(lambda m, add=shards: m + add, schema)
+            self._retried(lambda m, add=shards: m + add, rows.schema)
         return self.version()
 
-    def _retried(self, change: Any, schema: str) -> None:
+    def _retried(self, change: Any, schema: T.StructType) -> None:
         while True:
             now = self.manifest()
+            both = merged_schema(T.StructType.fromJson(json.loads(now["schema"])), schema) if now["schema"] else schema
             try:
-                self.commit(now["version"], change([Shard(**s) for s in now["shards"]]), now["schema"] or schema)
+                self.commit(now["version"], change([Shard(**s) for s in now["shards"]]), both.json())
                 return
             except Conflict:
                 continue
@@ -187,15 +209,22 @@ class ShardStore:
 
             def swapped(live: list[Shard], made=made, gone=gone) -> list[Shard]:
                 if not gone <= {s.path for s in live}:
-                    raise RuntimeError("another compaction has replaced the shards")
+                    raise Replaced
                 return [s for s in live if s.path not in gone] + made
 
-            self._retried(swapped, now["schema"])
+            try:
+                self._retried(swapped, schema)
+            except Replaced:  # another compaction was first: what was made here is dropped, and the plan made anew
+                self._fs.delete(self._path(folder), True)
 
-    def vacuum(self) -> int:
-        """Delete files that the newest version doesn't list; older versions can't be read after."""
-        live = {s.path for s in self.shards()}
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete files that the newest version doesn't list and that are older than grace seconds; older versions can't be read after.
+
+        A writer has to commit within the grace; with 0 there may be no other writer.
+        """
+        live, before = {s.path for s in self.shards()}, (time.time() - grace) * 1000
         old = [s for s in self._listed(f"{self.root}/data") if s.path not in live] if self._fs.exists(self._path(f"{self.root}/data")) else []
+        old = [s for s in old if not grace or self._fs.getFileStatus(self._path(s.path)).getModificationTime() < before]
         for s in old:
             self._fs.delete(self._path(s.path), False)
         return len(old)
@@ -210,11 +239,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in 16 arrivals by id, appended, compacted and read back from the manifest.
 
     Null ids arrive with arrival 0; empty tables give no rows; texts, nulls and repeated rows come back as they were.
-    Returns doc_id, n_bytes, text_sha256, shard.
+    Returns doc_id, n_bytes, text_sha256.
     """
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, new_root(spark))
     store.append(docs, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"), F.lit(0)))
     store.compact()
-    store.vacuum()
-    return store.read(shard="shard").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), F.element_at(F.split("shard", "/"), -1).alias("shard"))
+    store.vacuum(0)
+    return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: DuckDB: what comes back is what went in.
+SQL = "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
