@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._common import SPACE, bounded_batches, cut, table, tidy, utf8
 
-BLOCK_BYTES = 32768
+BLOCK_BYTES = 4096
 
 
 def block_key(block: bytes, attempt: int) -> bytes:
@@ -119,6 +119,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all documents, with the operator's own block size."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
