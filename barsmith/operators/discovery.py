@@ -13,6 +13,9 @@ RETURN_TARGETS = ("future_return_5", "future_return_10", "future_return_20", "fu
 CLASS_TARGET = "signal_class"
 # Weights of the composite score.
 WEIGHTS = {"mutual_information": 0.30, "correlation": 0.20, "predictive_power": 0.25, "consistency": 0.15, "robustness": 0.10}
+# Weights of a feature combination's score, and what names of categorical features hold.
+COMBINATION_WEIGHTS = {"predictive_power": 0.40, "expectancy": 0.30, "win_rate": 0.20, "trade_frequency": 0.10}
+CATEGORICAL_HINTS = ("bucket", "state", "regime", "hour", "day", "month", "quarter", "opening_range", "or_", "gap")
 EPS = 1e-12
 c = F.col
 
@@ -120,10 +123,70 @@ def feature_importance(df: DataFrame, numeric: list[str], categorical: list[str]
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("composite_score", 6)), "feature")))
 
 
-def category_stats(long: DataFrame, target: str) -> DataFrame:
-    """Frequency, mean target and share above 0 of every category; nulls are the category null."""
-    rows = long.filter((c("target") == target) & c("xs").isNotNull())
-    return rows.groupBy("feature", c("xs").alias("category")).agg(F.count(F.lit(1)).alias("frequency"), F.avg("y").alias("mean_target"), F.avg((c("y") > 0).cast("double")).alias("probability"))
+def category_stats(df: DataFrame, categorical: list[str], target: str) -> DataFrame:
+    """Frequency, mean target and share above 0 of every category, among rows with a target; nulls are the category null."""
+    named = F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(c(n).cast("string"), F.lit("null")).alias("category")) for n in categorical])
+    rows = df.filter(c(target).isNotNull()).select(c(target).alias("y"), F.explode(named).alias("f")).select("y", "f.*")
+    return rows.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("frequency"), F.avg("y").alias("mean_target"), F.avg((c("y") > 0).cast("double")).alias("probability"))
+
+
+def categorical_columns(df: DataFrame, names: list[str], most: int = 16) -> DataFrame:
+    """(feature, categorical): strings and booleans, names that say so, and integers of at most `most` values, null being one. One aggregate; above a few dozen values a sketch's count does."""
+    kinds = dict(df.dtypes)
+    whole = [n for n in names if kinds[n] in ("tinyint", "smallint", "int", "bigint")]
+    values = df.agg(F.lit(0).alias("_none"), *[(F.approx_count_distinct(n, 0.01) + F.max(c(n).isNull().cast("int"))).alias(n) for n in whole])
+    told = {n: F.lit(kinds[n] in ("string", "boolean") or any(h in n.lower() for h in CATEGORICAL_HINTS)) for n in names}
+    tests = [F.struct(F.lit(n).alias("feature"), (told[n] | F.coalesce(c(n) <= most, F.lit(False)) if n in whole else told[n]).alias("categorical")) for n in names]
+    return values.select(F.explode(F.array(*tests)).alias("x")).select("x.*")
+
+
+def combination_ranking(df: DataFrame, numeric: list[str], categorical: list[str], target: str = "future_return_20", sizes: tuple[int, ...] = (2, 3), top: int | None = 20, least_rows: int = 10) -> DataFrame:
+    """Sets of features by how their joint buckets tell the target apart; ties by name.
+
+    Of each set: the bucket with the highest mean target (then the most rows, then by name), and the share of the
+    target's variance between buckets. The score weighs that share, and the best bucket's figures, each scaled over all sets. One
+    aggregate over rows and sets gives everything; a set's buckets are few.
+    """
+    from barsmith.operators.patterns import bucket_columns, rule_groups
+
+    rows = bucket_columns(df, numeric, categorical).filter(c(target).isNotNull())
+    n, y = F.count(F.lit(1)), c(target).cast("double")
+    groups = rule_groups(rows, [*numeric, *categorical], [n.alias("n"), F.avg(y).alias("m"), F.avg((y > 0).cast("double")).alias("win"), F.sum(y).alias("s"), F.sum(y * y).alias("q")], sizes)
+    groups = groups.withColumn("best_bucket", F.regexp_replace("buckets", r"\|", " | "))
+    best = F.min(F.struct((-c("m")).alias("order"), (-c("n")).alias("rows"), "best_bucket", "win", "m")).alias("b")
+    sets = groups.groupBy("features").agg(best, F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(c("n") * c("m") * c("m")).alias("between")).filter(c("n") >= least_rows)
+    mean = c("s") / c("n")
+    var = c("q") / c("n") - mean * mean
+    power = F.when(var <= EPS, 0.0).otherwise(F.least(F.greatest((c("between") / c("n") - mean * mean) / var, F.lit(0.0)), F.lit(1.0)))
+    sets = sets.select(
+        F.regexp_replace("features", r"\|", " + ").alias("combination"), F.size(F.split("features", r"\|")).alias("combination_size"), c("b.best_bucket").alias("best_bucket"),
+        (-c("b.rows")).alias("trade_frequency"), c("b.win").alias("win_rate"), c("b.m").alias("average_return"), c("b.m").alias("expectancy"), power.alias("predictive_power"),
+    )
+    score = sum((normalized(c(k).cast("double")) * w for k, w in COMBINATION_WEIGHTS.items()), F.lit(0.0))
+    out = sets.withColumn("combination_score", F.round(score, 6)).withColumn("rank", F.row_number().over(W.orderBy(F.desc("combination_score"), "combination")))
+    return out if top is None else out.filter(c("rank") <= top)
+
+
+def top_combinations(df: DataFrame, numeric: list[str], categorical: list[str], strongest: int = 12, **options) -> DataFrame:
+    """combination_ranking of the strongest features by importance: their names are the only thing collected."""
+    best = [r["feature"] for r in feature_importance(df, numeric, categorical).orderBy("rank").limit(strongest).select("feature").collect()]
+    return combination_ranking(df, [n for n in numeric if n in best], [n for n in categorical if n in best], **options)
+
+
+def summary(importance: DataFrame, combinations: DataFrame, stable: DataFrame, categories: DataFrame, limit: int = 20, recommend: float = 0.6) -> dict[str, list]:
+    """What a discovery run comes to: short lists of a few rows each."""
+    def rows(x: DataFrame) -> list[dict]:
+        return [r.asDict() for r in x.limit(limit).collect()]
+
+    top = rows(importance.orderBy("rank"))
+    return {
+        "top_features": top,
+        "top_feature_combinations": rows(combinations.orderBy("rank")),
+        "most_stable_features": rows(stable.filter(c("label") == "Stable").orderBy(F.desc("stability"), "feature")),
+        "most_predictive_categories": rows(categories.orderBy(F.desc(F.abs("mean_target")), "feature", "category")),
+        "recommended_pine_features": [r["feature"] for r in top if (r["composite_score"] or 0.0) >= recommend],
+        "features_to_ignore": [r["feature"] for r in rows(importance.orderBy("composite_score", "feature"))],
+    }
 
 
 def stability(df: DataFrame, numeric: list[str], target: str) -> DataFrame:

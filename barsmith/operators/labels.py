@@ -100,6 +100,31 @@ def signal_labels(df: DataFrame, config: SignalLabels = SignalLabels()) -> DataF
     return df.withColumns({"label_" + k.lower().replace(" ", "_"): (c("signal_class") == k).cast("tinyint") for k in CLASSES})
 
 
+def metadata_columns(df: DataFrame, interval: str, session_id: str | None = None, high: float = 50.0) -> DataFrame:
+    """Adds interval, session_id, weekday (Monday is 1) and the trend, volatility and market regimes of bars with ema_200 and atr_pct."""
+    trend = F.when(c("close") > c("ema_200"), "above_ema200").otherwise("below_ema200")
+    volatility = F.when(c("atr_pct").isNull(), "unknown").when(c("atr_pct") >= high, "high").otherwise("low")
+    session = F.concat_ws(":", "symbol", F.lit(interval)) if session_id is None else F.lit(session_id)
+    df = df.withColumns({"interval": F.lit(interval), "session_id": session, "weekday": F.weekday("timestamp") + 1, "trend_regime": trend, "volatility_regime": volatility})
+    return df.withColumn("market_regime", F.concat_ws("_", "trend_regime", "volatility_regime"))
+
+
+def check_split_order(df: DataFrame) -> None:
+    """ValueError unless train, validation and test all have rows and follow one another in time within each symbol."""
+    ends = df.groupBy("symbol", "split").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    wide = ends.groupBy("symbol").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{x}") for s in ("train", "validation", "test") for x in ("first", "last")])
+    good = (c("train_last") < c("validation_first")) & (c("validation_last") < c("test_first"))
+    broken = wide.filter(~F.coalesce(good, F.lit(False))).select("symbol").limit(10).collect()
+    if broken or not ends.limit(1).collect():
+        raise ValueError(f"splits are empty or out of order: {[r['symbol'] for r in broken]}")
+
+
+def check_same_schema(*frames: DataFrame) -> None:
+    """ValueError unless all frames have the same columns of the same types, in order."""
+    if any(f.dtypes != frames[0].dtypes for f in frames[1:]):
+        raise ValueError("the splits must share one schema")
+
+
 def split(df: DataFrame, train: float = 0.70, validation: float = 0.15, test: float = 0.15, purge: int = 0, warm_up: int = 0) -> DataFrame:
     """Adds split: train, validation or test by place in the symbol's series. The first warm_up rows go, and the
     last purge rows of train and validation."""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +40,53 @@ def binary_target(df: DataFrame, column: str = "label", positive: str | None = N
     return df.withColumn("target", (c(column).cast("string") == positive).cast("double"))
 
 
+def stratified_split(df: DataFrame, test: float = 0.2, seed: int = 42, by: str = "target") -> DataFrame:
+    """Adds split, train or test: of each value of `by` the share `test` of the rows, drawn by hash of the whole row, so that reruns agree. Equal rows go together."""
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000)) / 1_000_000.0
+    edges = df.withColumn("_u", drawn).groupBy(by).agg(F.percentile_approx("_u", test, F.lit(100_000)).alias("_e"))
+    return df.withColumn("_u", drawn).join(F.broadcast(edges), by).withColumn("split", F.when(c("_u") <= c("_e"), "test").otherwise("train")).drop("_u", "_e")
+
+
+def importance_mean(runs: DataFrame, top: int = 30) -> DataFrame:
+    """Means over the runs of (feature, importance_mean, model_importance), best first."""
+    means = runs.groupBy("feature").agg(F.avg("importance_mean").alias("permutation_importance_mean"), F.avg("model_importance").alias("tree_importance"))
+    return means.withColumn("rank", F.row_number().over(W.orderBy(F.desc("permutation_importance_mean"), "feature"))).filter(c("rank") <= top)
+
+
+def correlation_table(df: DataFrame, names: list[str], remove: float = 0.90) -> DataFrame:
+    """Pearson's correlation of every pair of columns over rows without nulls, 0 where a side doesn't vary, and whether one of the two could go. One aggregate, unpivoted."""
+    sides = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not sides:
+        return df.sparkSession.createDataFrame([], "feature_left string, feature_right string, correlation double, abs_correlation double, candidate_for_removal boolean")
+    rows = df.na.drop(subset=names)
+    one = rows.agg(*[F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0)).alias(f"r{i}") for i, (a, b) in enumerate(sides)])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_left"), F.lit(b).alias("feature_right"), c(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(sides)])).alias("x")).select("x.*")
+    return long.withColumn("abs_correlation", F.abs("correlation")).withColumn("candidate_for_removal", c("abs_correlation") >= remove)
+
+
+def model_importance(model: PipelineModel, features: list[str]) -> DataFrame:
+    """(feature, model_importance) as the model has it: the trees' own, or absolute coefficients."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    spark = SparkSession.active()
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, model_importance double")
+
+
+def experiment(df: DataFrame, features: list[str], targets: tuple[str, ...] = ("BOTTOM", "TOP"), names: tuple[str, ...] = ()) -> DataFrame:
+    """The metrics of every model for every target: trained on split train, scored on split test. names: all models, if none."""
+    out = []
+    for positive in targets:
+        data = binary_target(df, "label", positive).na.drop(subset=[*features, "target"]).persist()  # read by every model
+        try:
+            for name in names or tuple(MODELS):
+                model = train(data.filter("split = 'train'"), name, features)
+                found = metrics(predict(model, data.filter("split = 'test'"))).select(F.lit(name).alias("model"), F.lit(positive).alias("positive"), "*")
+                out.append(df.sparkSession.createDataFrame(found.collect(), found.schema))  # one row
+        finally:
+            data.unpersist()
+    return reduce(DataFrame.unionAll, out)
+
+
 def train(df: DataFrame, name: str, features: list[str]) -> PipelineModel:
     if name not in MODELS:
         raise KeyError(f"no model {name!r}; there are {sorted(MODELS)}")

@@ -103,6 +103,23 @@ def evaluate(df: DataFrame, names: list[str], target: str = "future_return_20",
     return stats.join(rules.select("features", "buckets"), ["features", "buckets"])
 
 
+def evaluate_rule(df: DataFrame, rule: dict[str, str], target: str = "future_return_20", mfe: str = "future_high_return", mae: str = "future_low_return") -> DataFrame:
+    """The statistics of one rule, bucket by feature, over a bucketed frame: a filter and one aggregate; no row without a match."""
+    there = _clean(df, target)
+    for name, bucket in rule.items():
+        there = there.filter(c(f"_b_{name}") == bucket)
+    out = there.agg(*statistics(target, mfe, mae)).filter(c("signal_frequency") > 0)
+    return out.select(F.lit("|".join(rule)).alias("features"), F.lit("|".join(rule.values())).alias("buckets"), "*")
+
+
+def concept_counts(ranked: DataFrame, representative: dict[str, str], limit: int = 20) -> DataFrame:
+    """(concept, rules): in how many of the best rules a feature's cluster occurs; a cluster goes by its representative."""
+    names = F.create_map(*[F.lit(x) for kv in (representative or {"": ""}).items() for x in kv])
+    top = ranked.orderBy("rank").limit(limit).select("rank", F.explode(F.split("features", r"\|")).alias("f"))
+    named = top.select("rank", F.coalesce(F.try_element_at(names, c("f")), c("f")).alias("concept")).distinct()
+    return named.groupBy("concept").agg(F.count(F.lit(1)).alias("rules")).orderBy(F.desc("rules"), "concept")
+
+
 def with_split(df: DataFrame) -> DataFrame:
     """train, val, oos: 60, 20 and 20 % of the rows in order of time, then symbol. The cuts are ranks' places, found from counts a timestamp."""
     w = W.orderBy("timestamp").rowsBetween(W.unboundedPreceding, -1)

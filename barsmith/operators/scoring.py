@@ -91,6 +91,49 @@ def weights(board: DataFrame) -> DataFrame:
     return top.select("symbol", "feature", "bucket", category[c("feature")].alias("category"), "weight", c("score").alias("source_score"))
 
 
+def category_weights(weighted: DataFrame) -> DataFrame:
+    """The weight of each category, categories without a feature included."""
+    grid = weighted.select("symbol").distinct().select("symbol", F.explode(F.array(*map(F.lit, sorted(set(CATEGORIES.values()))))).alias("category"))
+    sums = weighted.groupBy("symbol", "category").agg(F.sum("weight").alias("weight"))
+    return grid.join(sums, ["symbol", "category"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
+def normalize_weights(weighted: DataFrame) -> DataFrame:
+    """The weights scaled so that a symbol's add up to 100, rounded; the last feature by name takes the difference. Without weight all weigh the same."""
+    all_ = W.partitionBy("symbol")
+    total = F.sum("weight").over(all_)
+    scaled = F.round(F.when(total > 0, c("weight") / total * 100.0).otherwise(100.0 / F.count(F.lit(1)).over(all_)), 6)
+    last = F.row_number().over(all_.orderBy(F.desc("feature"), F.desc("bucket"))) == 1
+    out = weighted.withColumn("_w", scaled)
+    return out.withColumn("weight", F.when(last, F.round(c("_w") + F.round(100.0 - F.sum("_w").over(all_), 6), 6)).otherwise(c("_w"))).drop("_w")
+
+
+def score_bars(bars: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Adds every category's score, alpha_score and score_bucket to bars with contexts, in place.
+
+    A symbol's weights, one a feature, come along as a map; rows are neither exploded nor joined with themselves.
+    """
+    maps = weighted.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("bucket", "category", "weight")))).alias("_m"))  # a row a symbol, of at most 29 entries
+    out = bars.join(F.broadcast(maps), "symbol", "left")
+
+    def part(name: str, category: str) -> Column:
+        w = F.try_element_at(c("_m"), F.lit(name))
+        return F.when((w["bucket"] == c(f"ctx_{name}")) & (w["category"] == category), w["weight"]).otherwise(0.0)
+
+    kinds = list(dict.fromkeys(CATEGORIES.values()))
+    out = out.withColumns({f"{k}_score": sum((part(f.name, k) for f in features() if CATEGORIES[f.group] == k), F.lit(0.0)) for k in kinds})
+    total = sum((c(f"{k}_score") for k in kinds), F.lit(0.0))
+    out = out.withColumn("alpha_score", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 6)).drop("_m")
+    return out.withColumn("score_bucket", _score_bucket(c("alpha_score")))
+
+
+def _score_bucket(score: Column) -> Column:
+    label = F.when(score < 20, SCORE_BUCKETS[0])
+    for i in (1, 2, 3):
+        label = label.when(score < 20 * (i + 1), SCORE_BUCKETS[i])
+    return label.otherwise(SCORE_BUCKETS[4])
+
+
 def score_trades(trades: DataFrame, weighted: DataFrame) -> DataFrame:
     """A score a category and their sum, within 0 and 100. A weight counts where the trade's bucket is the weighted one."""
     long = unpivot(trades, "ctx", "bucket").join(weighted.select("symbol", "feature", "bucket", "category", "weight"), ["symbol", "feature", "bucket"], "left")
@@ -98,10 +141,7 @@ def score_trades(trades: DataFrame, weighted: DataFrame) -> DataFrame:
     out = long.groupBy("symbol", "entry_time").agg(F.first("return_pct").alias("return_pct"), *[v.alias(k) for k, v in sums.items()])
     total = sum((c(k) for k in sums), F.lit(0.0))
     out = out.withColumn("alpha_score", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 6))
-    label = F.when(c("alpha_score") < 20, SCORE_BUCKETS[0])
-    for i in (1, 2, 3):
-        label = label.when(c("alpha_score") < 20 * (i + 1), SCORE_BUCKETS[i])
-    return out.withColumn("score_bucket", label.otherwise(SCORE_BUCKETS[4]))
+    return out.withColumn("score_bucket", _score_bucket(c("alpha_score")))
 
 
 def score_analysis(scored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from barsmith.operators.backtest import run_backtest
 from barsmith.plans.core import KEYS, query, rounded
 from barsmith.plans.sql import with_features
 from barsmith.plans.trading import FIXED
+from barsmith.operators import dataset as datasets
 from barsmith.sources import bars as src
 
 _VALUES = {
@@ -129,3 +130,27 @@ query("alpha_validation", with_features("daily", _AN + """, rk AS (SELECT *, ran
  SELECT rk.symbol, round(corr(alpha_score, return_pct), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, first(monotonicity) AS monotonicity, first(highest_bucket_expectancy) AS highest_bucket_expectancy, first(lowest_bucket_expectancy) AS lowest_bucket_expectancy FROM rk JOIN up USING (symbol) GROUP BY 1"""))(
     lambda s, d: rounded(sc.score_validation(_scored(s, d)), ["symbol"], ["pearson", "spearman", "monotonicity", "highest_bucket_expectancy", "lowest_bucket_expectancy"]))
 query("alpha_top_trades", with_features("daily", _ALPHA + " SELECT symbol, entry_time, alpha_score, round(return_pct, 6) AS return_pct FROM alpha ORDER BY alpha_score DESC, entry_time, symbol LIMIT 20"))(lambda s, d: rounded(sc.top_trades(_scored(s, d)), ["symbol", "entry_time"], ["alpha_score", "return_pct"]))
+
+_KINDS = sorted(set(ctx.CATEGORIES.values()))
+query("alpha_category_weights", with_features("daily", _WEIGHTS + f" SELECT g.symbol, g.category, round(coalesce(sum(weight), 0), 6) + 0::DOUBLE AS weight FROM (SELECT DISTINCT symbol, unnest({_KINDS}) AS category FROM weights) g LEFT JOIN weights w ON w.symbol = g.symbol AND w.category = g.category GROUP BY 1, 2"))(
+    lambda s, d: rounded(sc.category_weights(sc.weights(_board(s, d)[2])), ["symbol", "category"], ["weight"]))
+_MARKET = "CASE WHEN close > ema_200 THEN 'above_ema200' ELSE 'below_ema200' END || '_' || CASE WHEN atr_pct IS NULL THEN 'unknown' WHEN atr_pct >= 50 THEN 'high' ELSE 'low' END"
+_DATASET = ["interval", "session_id", "weekday", "market_regime", *_CAT_COLS, "alpha_score", "score_bucket", "signal_class"]
+
+
+def _signal_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with contexts, the alpha score of the weights that their trades give, metadata and labels."""
+    weighted = sc.weights(_board(spark, sf_dir)[2])
+    return datasets.signal_dataset(src.daily(spark, sf_dir), weighted, "day")
+
+
+query("signal_dataset", with_features("daily", _WEIGHTS + f""",
+bl AS (SELECT feat.symbol, feat.timestamp, rn, close, {_MARKET} AS market_regime, {', '.join(f"{LABELS[n][0]} AS ctx_{n}" for n in ctx.ORDER)} FROM feat),
+lb AS ({' UNION ALL '.join(f"SELECT symbol, timestamp, '{n}' AS feature, ctx_{n} AS bucket FROM bl" for n in ctx.ORDER)}),
+ba AS (SELECT l.symbol, l.timestamp, {', '.join(f"sum(CASE WHEN w.category = '{k}' THEN w.weight ELSE 0 END) AS {k}_score" for k in ctx.CATEGORIES.values())} FROM lb l LEFT JOIN weights w ON w.symbol = l.symbol AND w.feature = l.feature AND w.bucket = l.bucket GROUP BY 1, 2),
+bs AS (SELECT *, round(least(greatest({' + '.join(f'{k}_score' for k in ctx.CATEGORIES.values())}, 0), 100), 6) AS alpha_score FROM ba),
+br AS (SELECT *, (lead(close, 20) OVER (PARTITION BY symbol ORDER BY rn) / (close + 1e-9) - 1) * 100 AS r FROM bl)
+SELECT br.symbol, br.timestamp, 'day' AS interval, br.symbol || ':day' AS session_id, isodow(br.timestamp)::INT AS weekday, market_regime, {', '.join(f'round({x}, 6) + 0::DOUBLE AS {x}' for x in _CAT_COLS)}, alpha_score + 0::DOUBLE AS alpha_score,
+ CASE WHEN alpha_score < 20 THEN '0-20' WHEN alpha_score < 40 THEN '20-40' WHEN alpha_score < 60 THEN '40-60' WHEN alpha_score < 80 THEN '60-80' ELSE '80-100' END AS score_bucket,
+ CASE WHEN r IS NULL THEN NULL WHEN r >= 1.5 THEN 'Strong Bull Move' WHEN r >= 0.4 THEN 'Bull Move' WHEN r <= -1.5 THEN 'Strong Bear Move' WHEN r <= -0.4 THEN 'Bear Move' ELSE 'Neutral' END AS signal_class
+FROM br JOIN bs USING (symbol, timestamp)"""))(lambda s, d: rounded(_signal_dataset(s, d), KEYS, _DATASET))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.functions import context as ctx
 from barsmith.functions.indicators import FEATURE_GROUPS, with_rsi
 from barsmith.operators import labels as lb
 from barsmith.operators import ml
@@ -14,6 +15,9 @@ from barsmith.plans.sql import with_features
 from barsmith.sources import bars as src
 
 
+_CORR = ["ema_20", "ema_50", "ema_200", "rsi_14", "atr_14", "flat"]
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probability and an outcome for every bar: the RSI in place of a model."""
     df = with_rsi(src.daily(spark, sf_dir))
@@ -41,3 +45,21 @@ def ml_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ml.binary_target(lb.split(df.drop("rn"), purge=12, warm_up=200), "label", "BOTTOM").na.drop(subset=[*features, "target"]).persist()
     model = ml.train(df.filter("split = 'train'"), "logistic_regression", features)
     return rounded(ml.metrics(ml.predict(model, df.filter("split = 'test'")), ("symbol",)), ["symbol"], ["tp", "fp", "fn", "tn", "brier", "roc_auc", "average_precision", "precision", "recall", "f1"])
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]]
+query("ml_correlations", with_features("daily", f""", cc AS (SELECT {', '.join(_CORR)} FROM (SELECT ema_20, ema_50, ema_200, rsi_14, atr_14, 0.0::DOUBLE AS flat FROM feat) WHERE {' AND '.join(f'{x} IS NOT NULL' for x in _CORR)}),
+ cp AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature_left, '{b}' AS feature_right, coalesce(CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END, 0) AS r FROM cc" for a, b in _PAIRS)})
+ SELECT feature_left, feature_right, round(r, 6) + 0::DOUBLE AS correlation, round(abs(r), 6) + 0::DOUBLE AS abs_correlation, abs(r) >= 0.9 AS candidate_for_removal FROM cp"""))(
+    lambda s, d: rounded(ml.correlation_table(ctx.enrich(src.daily(s, d)).withColumn("flat", F.lit(0.0)).select(*_CORR), _CORR), ["feature_left", "feature_right"], ["correlation", "abs_correlation", "candidate_for_removal"]))
+
+
+@query("ml_experiment_all")
+def ml_experiment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three models for BOTTOM and TOP, as ml_experiment; the splits are checked first."""
+    df = lb.reversal_labels(FEATURE_GROUPS.compute(src.daily(spark, sf_dir)))
+    features = [x for x in ml.feature_columns(df) if x not in ("open", "high", "low", "close", "volume")]
+    df = lb.split(df.drop("rn"), purge=12, warm_up=200).persist()  # read by six runs
+    lb.check_split_order(df)
+    cols = ["tp", "fp", "fn", "tn", "brier", "roc_auc", "average_precision", "precision", "recall", "f1"]
+    return rounded(ml.experiment(df, features), ["model", "positive"], cols)

@@ -61,13 +61,16 @@ query("predictive_power", with_features("daily", LONG + " SELECT feature, target
 query("feature_correlations", with_features("daily", LONG + " SELECT feature, target, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM co"))(lambda s, d: rounded(ds.correlations(_long(s, d)), ["feature", "target"], ["pearson", "spearman"]))
 _COLS = ["information_gain", "mutual_information", "pearson", "spearman", "predictive_power", "consistency", "robustness", "composite_score"]
 _NORM = "CASE WHEN {0} IS NOT NULL AND max({0}) OVER () > min({0}) OVER () THEN ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) ELSE 0 END"
-query("feature_importance", with_features("daily", LONG + f""", rb AS ({' UNION ALL '.join(f"SELECT '{x}' AS feature, 1 - count(*) FILTER ({x} IS NULL) * 1.0::DOUBLE / count(*) AS robustness FROM sd" for x in [*_N, *_C])}),
+_IMPORTANCE = LONG + f""", rb AS ({' UNION ALL '.join(f"SELECT '{x}' AS feature, 1 - count(*) FILTER ({x} IS NULL) * 1.0::DOUBLE / count(*) AS robustness FROM sd" for x in [*_N, *_C])}),
  cs AS (SELECT feature, avg(abs(pearson)) AS pearson, avg(abs(spearman)) AS spearman, avg((sign(pearson) = s0)::INT) AS consistency FROM (SELECT *, first_value(sign(pearson)) OVER (PARTITION BY feature ORDER BY len(target), target) AS s0 FROM co) GROUP BY 1),
  al AS (SELECT rb.feature, information_gain, m AS mutual_information, pearson, spearman, p AS predictive_power, coalesce(consistency, 0) AS consistency, robustness, (coalesce(pearson, 0) + coalesce(spearman, 0)) / 2 AS cc FROM rb LEFT JOIN ig USING (feature) LEFT JOIN (SELECT feature, avg(mi) AS m FROM mi GROUP BY 1) USING (feature) LEFT JOIN (SELECT feature, avg(power) AS p FROM pw GROUP BY 1) USING (feature) LEFT JOIN cs USING (feature)),
- sc AS (SELECT *, round({_NORM.format('mutual_information')} * 0.3::DOUBLE + {_NORM.format('cc')} * 0.2::DOUBLE + {_NORM.format('predictive_power')} * 0.25::DOUBLE + {_NORM.format('consistency')} * 0.15::DOUBLE + {_NORM.format('robustness')} * 0.1::DOUBLE, 6) AS composite_score FROM al)
- SELECT (row_number() OVER (ORDER BY composite_score DESC, feature))::INT AS rank, feature, {', '.join(f'round({x}, 6) + 0::DOUBLE AS {x}' for x in _COLS)} FROM sc"""))(
+ sc AS (SELECT *, round({_NORM.format('mutual_information')} * 0.3::DOUBLE + {_NORM.format('cc')} * 0.2::DOUBLE + {_NORM.format('predictive_power')} * 0.25::DOUBLE + {_NORM.format('consistency')} * 0.15::DOUBLE + {_NORM.format('robustness')} * 0.1::DOUBLE, 6) AS composite_score FROM al)"""
+query("feature_importance", with_features("daily", _IMPORTANCE + f""" SELECT (row_number() OVER (ORDER BY composite_score DESC, feature))::INT AS rank, feature, {', '.join(f'round({x}, 6) + 0::DOUBLE AS {x}' for x in _COLS)} FROM sc"""))(
     lambda s, d: rounded(ds.feature_importance(dataset(s, d), _N, _C), ["rank", "feature"], _COLS))
-query("category_stats", with_features("daily", LONG + " SELECT feature, xs AS category, count(*) AS frequency, round(avg(y), 6) AS mean_target, round(avg((y > 0)::INT), 6) AS probability FROM long WHERE target = 'future_return_20' AND xs IS NOT NULL GROUP BY 1, 2"))(lambda s, d: rounded(ds.category_stats(_long(s, d), "future_return_20"), ["feature", "category"], ["frequency", "mean_target", "probability"]))
+_NAMED = " UNION ALL ".join(f"SELECT '{x}' AS feature, coalesce({x}, 'null') AS category, future_return_20 AS y FROM sd WHERE future_return_20 IS NOT NULL" for x in _C)
+query("category_stats", with_features("daily", DATA + f" SELECT feature, category, count(*) AS frequency, round(avg(y), 6) AS mean_target, round(avg((y > 0)::INT), 6) AS probability FROM ({_NAMED}) GROUP BY 1, 2"))(lambda s, d: rounded(ds.category_stats(dataset(s, d), _C, "future_return_20"), ["feature", "category"], ["frequency", "mean_target", "probability"]))
+query("categorical_features", with_features("daily", DATA + " SELECT feature, categorical FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, {'TRUE' if x in _C or any(h in x for h in ds.CATEGORICAL_HINTS) else 'FALSE'} AS categorical" for x in [*_N, *_C]) + """ UNION ALL SELECT 'weekday_number', count(DISTINCT isodow(timestamp)) <= 16 FROM sd UNION ALL SELECT 'year_number', count(DISTINCT year(timestamp)) <= 16 FROM sd UNION ALL SELECT 'nth', count(DISTINCT dayofyear(timestamp)) <= 16 FROM sd)"""))(
+    lambda s, d: ds.categorical_columns(dataset(s, d).withColumns({"weekday_number": F.weekday("timestamp"), "year_number": F.year("timestamp"), "nth": F.dayofyear("timestamp")}), [*_N, *_C, "weekday_number", "year_number", "nth"]))
 query("feature_stability", with_features("daily", DATA + f""", sx AS ({' UNION ALL '.join(f"SELECT symbol, '{x}' AS feature, {x} AS x, future_return_20 AS y FROM sd WHERE {x} IS NOT NULL AND future_return_20 IS NOT NULL" for x in _N)}),
  sr AS (SELECT symbol, feature, abs(corr(rx, ry)) AS r FROM (SELECT *, rank() OVER (PARTITION BY symbol, feature ORDER BY x) + (count(*) OVER (PARTITION BY symbol, feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol, feature ORDER BY y) + (count(*) OVER (PARTITION BY symbol, feature, y) - 1) / 2 AS ry FROM sx) GROUP BY 1, 2),
  st AS (SELECT feature, least(greatest(1 - stddev_pop(r) / avg(r), 0), 1) AS stability FROM sr GROUP BY 1) SELECT feature, round(stability, 6) AS stability, CASE WHEN stability >= 0.75 THEN 'Stable' WHEN stability >= 0.5 THEN 'Moderately Stable' ELSE 'Unstable' END AS label FROM st"""))(
@@ -83,12 +86,12 @@ _SETS = [s for k in _RS for s in combinations(_RF, k)]
 _Q4E = "list_sort(list_distinct(quantile_cont({}, [0, 0.25, 0.5, 0.75, 1])))"
 
 
-def _buckets(source: str, name: str, by: str = "") -> str:
+def _buckets(source: str, name: str, by: str = "", numeric: list[str] = _RN, categorical: list[str] = _RC) -> str:
     """CTEs that add b_<feature> to source, by its quantiles or those of each value of `by`."""
     group = f" GROUP BY {by}" if by else ""
     on = f"USING ({by})" if by else "ON TRUE"
-    cols = ", ".join([f"CASE WHEN {x} IS NULL THEN 'null' ELSE 'q' || ({_bin(x, 'e_' + x)}) END AS b_{x}" for x in _RN] + [f"coalesce({x}, 'null') AS b_{x}" for x in _RC])
-    return f""", {name}_e AS (SELECT {by + ', ' if by else ''}{', '.join(f'{_Q4E.format(x)} AS e_{x}' for x in _RN)} FROM {source}{group}),
+    cols = ", ".join([f"CASE WHEN {x} IS NULL THEN 'null' ELSE 'q' || ({_bin(x, 'e_' + x)}) END AS b_{x}" for x in numeric] + [f"coalesce({x}, 'null') AS b_{x}" for x in categorical])
+    return f""", {name}_e AS (SELECT {by + ', ' if by else ''}{', '.join(f'{_Q4E.format(x)} AS e_{x}' for x in numeric)} FROM {source}{group}),
 {name} AS MATERIALIZED (SELECT d.*, {cols} FROM {source} d JOIN {name}_e {on})"""
 
 
@@ -103,6 +106,18 @@ def _figures(mfe: str, mae: str) -> str:
  avg(({t} > 0)::INT) * coalesce(avg({t}) FILTER ({t} > 0), 0) + (1 - avg(({t} > 0)::INT)) * coalesce(avg({t}) FILTER ({t} < 0), 0) AS expectancy, avg({mfe}) AS average_mfe, avg({mae}) AS average_mae"""
 
 
+_Y20 = "future_return_20"
+_COMBOS = [x for k in (2, 3) for x in combinations([*_N, *_C], k)]
+_COMBINED = _IMPORTANCE + f""", top AS (SELECT list(feature) AS f FROM (SELECT feature, row_number() OVER (ORDER BY composite_score DESC, feature) AS k FROM sc) WHERE k <= 12)""" + _buckets("sd", "bc", numeric=_N, categorical=_C) + f""",
+cg AS ({' UNION ALL '.join(f"SELECT {list(x)} AS fs, {(' || ' + repr(' | ') + ' || ').join('b_' + y for y in x)} AS best_bucket, count(*) AS n, avg({_Y20}) AS m, avg(({_Y20} > 0)::INT) AS win FROM bc WHERE {_Y20} IS NOT NULL GROUP BY ALL" for x in _COMBOS)}),
+cv AS (SELECT avg({_Y20}) AS mm, var_pop({_Y20}) AS v, count({_Y20}) AS t FROM sd),
+cs2 AS (SELECT fs, first(struct_pack(best_bucket, n, win, m) ORDER BY m DESC, n DESC, best_bucket) AS b, CASE WHEN any_value(v) <= 1e-12 THEN 0 ELSE least(greatest(sum(n * pow(m - mm, 2)) / (any_value(t) * any_value(v)), 0), 1) END AS predictive_power FROM cg, cv, top WHERE list_has_all(top.f, fs) GROUP BY fs),
+cr AS (SELECT list_aggregate(fs, 'string_agg', ' + ') AS combination, len(fs)::INT AS combination_size, b.best_bucket AS best_bucket, b.n AS trade_frequency, b.win AS win_rate, b.m AS average_return, b.m AS expectancy, predictive_power FROM cs2),
+cz AS (SELECT *, round({' + '.join(f"{_NORM.format(k)} * {w}::DOUBLE" for k, w in ds.COMBINATION_WEIGHTS.items())}, 6) AS combination_score FROM cr)"""
+_CCOLS = ["combination_size", "best_bucket", "trade_frequency", "win_rate", "average_return", "expectancy", "predictive_power", "combination_score"]
+query("combination_ranking", with_features("daily", _COMBINED + " SELECT * FROM (SELECT (row_number() OVER (ORDER BY combination_score DESC, combination))::INT AS rank, combination, combination_size, best_bucket, trade_frequency, " + ", ".join(f"round({x}, 6) + 0::DOUBLE AS {x}" for x in _CCOLS[3:]) + " FROM cz) WHERE rank <= 20"))(
+    lambda s, d: rounded(ds.top_combinations(dataset(s, d), _N, _C), ["rank", "combination"], _CCOLS))
+
 RULES = DATA + _buckets("sd", "bk") + f""", cand AS (SELECT * FROM ({_each('bk', 'count(*) AS samples')}) WHERE samples >= 30),
 stats AS (SELECT s.* FROM ({_each('bk', _figures('future_high_return', 'future_low_return'), 'future_return_20 IS NOT NULL')}) s JOIN cand USING (features, buckets) WHERE signal_frequency >= 3)"""
 _STAT = ["signal_frequency", "win_rate", "average_return", "median_return", "profit_factor", "expectancy", "average_mfe", "average_mae"]
@@ -119,6 +134,8 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("rule_candidates", with_features("daily", RULES + " SELECT * FROM cand"))(lambda s, d: pt.candidates(_bucketed(s, d), _RF, _RS).select("features", "buckets", "samples"))
 query("rule_statistics", with_features("daily", RULES + f" SELECT features, buckets, signal_frequency, {_S6} FROM stats"))(lambda s, d: rounded(_stats(s, d), ["features", "buckets"], _STAT))
+query("rule_single", with_features("daily", DATA + _buckets("sd", "bk") + f" SELECT 'num_rsi_bucket|ctx_ema200_side' AS features, 'q3|Above EMA200' AS buckets, signal_frequency, {_S6} FROM (SELECT {_figures('future_high_return', 'future_low_return')} FROM bk WHERE future_return_20 IS NOT NULL AND b_num_rsi_bucket = 'q3' AND b_ctx_ema200_side = 'Above EMA200') WHERE signal_frequency > 0"))(
+    lambda s, d: rounded(pt.evaluate_rule(_bucketed(s, d), {"num_rsi_bucket": "q3", "ctx_ema200_side": "Above EMA200"}), ["features", "buckets"], _STAT))
 _WFR = RULES + """, sp0 AS (SELECT *, row_number() OVER (ORDER BY timestamp, symbol) - 1 AS i, count(*) OVER () AS n FROM sd), sp AS (SELECT *, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'oos' END AS split FROM sp0)""" + _buckets("sp", "bs", "split") + f""",
 ws AS (SELECT * FROM ({_each('bs', _figures('future_return_20', 'future_return_20'), 'future_return_20 IS NOT NULL', 'split')}) WHERE signal_frequency >= 10),
 wide AS (SELECT features, buckets, {', '.join(f"max({x}) FILTER (split = '{s}') AS {s}_{n}" for s in ('train', 'val', 'oos') for n, x in (('frequency', 'signal_frequency'), ('win_rate', 'win_rate'), ('expectancy', 'expectancy'), ('profit_factor', 'profit_factor')))} FROM ws GROUP BY 1, 2),
