@@ -169,6 +169,7 @@ def combination_ranking(df: DataFrame, numeric: list[str], categorical: list[str
 
 def top_combinations(df: DataFrame, numeric: list[str], categorical: list[str], strongest: int = 12, **options) -> DataFrame:
     """combination_ranking of the strongest features by importance: their names are the only thing collected."""
+    df = df.select(*numeric, *categorical, *RETURN_TARGETS, CLASS_TARGET).persist()  # read for the importance and for the sets
     best = [r["feature"] for r in feature_importance(df, numeric, categorical).orderBy("rank").limit(strongest).select("feature").collect()]
     return combination_ranking(df, [n for n in numeric if n in best], [n for n in categorical if n in best], **options)
 
