@@ -73,29 +73,31 @@ def segments(text: bytes, length: int, anchor: int) -> tuple[np.ndarray, np.ndar
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Prefix doubling from packed sevens of symbols, which are below 512."""
+    """Prefix doubling from packed sevens of symbols, which are below 512; suffixes that are told apart already aren't sorted again."""
     n = len(text)
     x = np.zeros(n, np.int64)
     padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
     for i in range(7):
         x = (x << 9) | padded[i : i + n]
+    order = np.argsort(x)
+    x = x[order]
+    heads = np.r_[True, x[1:] != x[:-1]]  # first rows of groups of suffixes that are alike so far
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     h = 7
-    while True:
-        order = np.argsort(x, kind="quicksort")
-        sorted_x = x[order]
-        new = np.empty(n, np.int64)
-        new[0] = 0
-        np.not_equal(sorted_x[1:], sorted_x[:-1], out=new[1:], casting="unsafe")
-        np.cumsum(new, out=new)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        x = rank * (n + 1)
-        x[: max(n - h, 0)] += rank[h:] + 1
+    while h < 2 * n:
+        rows = np.flatnonzero(~(heads & np.r_[heads[1:], True]))
+        if not len(rows):
+            break
+        at = order[rows]
+        x = rank[at] * (n + 1) + np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        by = np.argsort(x)
+        at, x = at[by], x[by]
+        order[rows] = at
+        heads[rows] = new = np.r_[True, x[1:] != x[:-1]]
+        rank[at] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
         h *= 2
-        if h >= 2 * n:
-            return order
+    return order
 
 
 def _common(padded: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
