@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barsmith.functions import context as ctx
 from barsmith.functions.indicators import ema_signals
-from barsmith.operators import backtest, discovery, labels, patterns, portfolio, research, scoring
+from barsmith.operators import backtest, dataset, discovery, labels, patterns, portfolio, research, scoring
 from barsmith.sources import bars as src
 from barsmith.sources import sinks
 
 MODES = ("forward_return", "event", "optimize", "factors", "portfolio", "context", "alpha", "strategies", "signal_dataset", "signal_discovery", "signal_patterns")
-NUMERIC = [f"num_{x}" for x in ("dist_ema200", "dist_ema50", "atr_percentile", "rsi_bucket", "adx_bucket", "roc10_bucket", "swing_distance")]
-CATEGORICAL = ["ctx_ema200_side", "ctx_atr_state"]
 
 
 def signal_dataset(bars: DataFrame) -> DataFrame:
@@ -27,7 +25,7 @@ def _contexts(bars: DataFrame) -> DataFrame:
     return backtest.run_backtest(ctx.with_context(ctx.enrich(bars)), "fixed_bars", 10, carry=tuple(names))
 
 
-def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: str = "opposite_crossover", fixed_bars: int = 10) -> dict[str, DataFrame]:
+def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: str = "opposite_crossover", fixed_bars: int = 10, interval: str = "day") -> dict[str, DataFrame]:
     """The results of a mode by report name."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is not one of {MODES}")
@@ -58,12 +56,13 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
         weights = scoring.weights(board)
         scored = scoring.score_trades(trades, weights)
         return {"weights": weights, "scores": scored, "analysis": scoring.score_analysis(scored), "validation": scoring.score_validation(scored), "summary": scoring.score_summary(scored)}
-    data = signal_dataset(bars)
     if mode == "signal_dataset":
-        return {"dataset": data}
-    if mode == "signal_discovery":
-        return {"importance": discovery.feature_importance(data, NUMERIC, CATEGORICAL), "stability": discovery.stability(data, NUMERIC, "future_return_20")}
+        weights = scoring.weights(scoring.leaderboard(scoring.bucket_metrics(_contexts(bars))))
+        return {"dataset": dataset.signal_dataset(bars, weights, interval)}
+    data = signal_dataset(bars)
     numeric, categorical = ctx.numeric_features(), ctx.categorical_features()
+    if mode == "signal_discovery":
+        return {"importance": discovery.feature_importance(data, numeric, categorical), "stability": discovery.stability(data, numeric, "future_return_20"), "categories": discovery.category_stats(data, categorical, "future_return_20"), "combinations": discovery.top_combinations(data, numeric, categorical)}
     stats, valid = patterns.mine(data, numeric, categorical)
     return {"candidates": stats, "walk_forward": valid, "ranking": patterns.base_ranking(stats, valid), "similarity": patterns.similar_rules(valid, cluster=patterns.feature_clusters(data, numeric, categorical))}
 
@@ -76,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--sizing", choices=portfolio.SIZINGS, default="percent_equity")
     parser.add_argument("--exit-mode", choices=backtest.EXIT_MODES, default="opposite_crossover")
     parser.add_argument("--fixed-bars", type=int, default=10)
+    parser.add_argument("--interval", default="day", help="the bars' interval, as the signal dataset names it")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("barsmith").getOrCreate()
     bars = src.read_raw(spark, args.bars) if args.bars.endswith((".csv", ".parquet")) else src.read_folder(spark, args.bars)
@@ -83,8 +83,10 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import functions as F
 
         bars = bars.withColumn("symbol", F.lit("BARS"))
-    for name, df in run(args.mode, bars, args.sizing, args.exit_mode, args.fixed_bars).items():
-        if name in ("dataset", "forward_returns"):
+    for name, df in run(args.mode, bars, args.sizing, args.exit_mode, args.fixed_bars, args.interval).items():
+        if args.mode == "signal_dataset":
+            dataset.write_signal_dataset(df, args.out, sum(r["duplicates"] for r in labels.duplicate_rows(bars).collect()))
+        elif name in ("dataset", "forward_returns"):
             df.write.mode("overwrite").parquet(f"{args.out}/{name}.parquet")
         else:
             sinks.write_report(df, args.out, name)
