@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barsmith.export import strategy
 from barsmith.functions import context as ctx
 from barsmith.functions.indicators import ema_signals
 from barsmith.operators import backtest, dataset, discovery, labels, patterns, portfolio, research, scoring
@@ -14,6 +15,7 @@ from barsmith.sources import bars as src
 from barsmith.sources import sinks
 
 MODES = ("forward_return", "event", "optimize", "factors", "portfolio", "context", "alpha", "strategies", "signal_dataset", "signal_discovery", "signal_patterns")
+EXPORT = "pine"
 
 
 def signal_dataset(bars: DataFrame) -> DataFrame:
@@ -69,14 +71,21 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="barsmith", description=__doc__)
-    parser.add_argument("--mode", choices=MODES, required=True)
-    parser.add_argument("--bars", required=True, help="a Parquet or CSV file of bars, or a folder of them")
+    parser.add_argument("--mode", choices=(*MODES, EXPORT), required=True)
+    parser.add_argument("--bars", help="a Parquet or CSV file of bars, or a folder of them; not for pine")
     parser.add_argument("--out", required=True)
     parser.add_argument("--sizing", choices=portfolio.SIZINGS, default="percent_equity")
     parser.add_argument("--exit-mode", choices=backtest.EXIT_MODES, default="opposite_crossover")
     parser.add_argument("--fixed-bars", type=int, default=10)
     parser.add_argument("--interval", default="day", help="the bars' interval, as the signal dataset names it")
+    for name, text in (("parameters", "best_parameters.json of optimize"), ("best", "best.json of context"), ("weights", "weights.json of alpha"), ("patterns", "ranking.json of signal_patterns, for a rule's script"), ("quantiles", "quantiles.json of signal_dataset, for a rule's script"), ("symbol", "whose results; the first by name otherwise")):
+        parser.add_argument(f"--{name}", default=None if name == "symbol" else "", help=f"pine: {text}")
     args = parser.parse_args(argv)
+    if args.mode == EXPORT:
+        strategy.export(args.out, parameters=args.parameters, best=args.best, weights=args.weights, patterns=args.patterns, quantiles=args.quantiles, symbol=args.symbol)
+        return 0
+    if not args.bars:
+        parser.error(f"--mode {args.mode} needs --bars")
     spark = SparkSession.builder.appName("barsmith").getOrCreate()
     bars = src.read_raw(spark, args.bars) if args.bars.endswith((".csv", ".parquet")) else src.read_folder(spark, args.bars)
     if "symbol" not in bars.columns:

@@ -35,6 +35,13 @@ INDICATORS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def register(feature: str, variable: str, lines: tuple[str, ...] = ()) -> None:
+    """Add the translation of a feature: its script variable and the lines that make it. A feature has one translation."""
+    if feature in INDICATORS or re.fullmatch(r"ema_\d+", feature):
+        raise ValueError(f"feature {feature!r} has a translation already")
+    INDICATORS[feature] = (variable, lines)
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -122,7 +129,10 @@ def render(title: str, conditions: list[str], quantiles: dict[str, dict[str, tup
 
 
 def load_patterns(path: str) -> list[dict]:
-    """Signal patterns from JSON (a list, or under top_20_signals) or CSV, best rank first, with conditions as lists."""
+    """Signal patterns from JSON (a list, or under top_20_signals) or CSV, best rank first, with conditions as lists.
+
+    Conditions come from `conditions`, `rule_label` or, as this library ranks rules, from `features` and `buckets`.
+    """
     import csv
 
     text = Path(path).read_text()
@@ -133,7 +143,9 @@ def load_patterns(path: str) -> list[dict]:
         rows = data.get("top_20_signals", []) if isinstance(data, dict) else data
     out = []
     for r in rows:
-        conditions = r.get("conditions") or r.get("rule_label", "").split(" AND ")
+        conditions = r.get("conditions") or (r.get("rule_label") or "").split(" AND ")
+        if not any(conditions) and r.get("buckets") is not None:
+            conditions = [f"{f} == {b}" for f, b in zip(r["features"].split("|"), r["buckets"].split("|"), strict=True)]
         if isinstance(conditions, str):
             conditions = json.loads(conditions.replace("'", '"')) if conditions.startswith("[") else conditions.split(" AND ")
         out.append(r | {"rank": int(r["rank"]) if str(r.get("rank") or "").isdigit() else None, "conditions": list(dict.fromkeys(x.strip() for x in conditions if x.strip()))})

@@ -12,6 +12,7 @@ from barsmith.operators import labels, scoring
 from barsmith.sources import sinks
 
 RAW = ["open", "high", "low", "close", "volume"]
+PRECISION = 6
 METADATA = ["symbol", "interval", "timestamp", "session_id", "weekday", "market_regime"]
 
 
@@ -34,14 +35,19 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [x for x in df.columns if x not in labelled and x not in METADATA and x not in RAW and not x.startswith("_")]
 
 
-def quantiles(df: DataFrame, names: list[str], bins: int = 4) -> dict[str, list[float]]:
-    """The quantiles of the numeric ones of names, as rules and the export read them: one aggregate of a row."""
+NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
+
+
+def quantiles(df: DataFrame, names: list[str], bins: int = 4) -> dict[str, dict[str, list[float]]]:
+    """Bounds of the buckets q0, q1, ... of the numeric ones of names, of their finite values, as rules name them and the export reads them: one aggregate of a row. Features without a value are left out."""
     kinds = dict(df.dtypes)
-    numbers = [x for x in names if kinds[x] in ("double", "float")]
+    numbers = [x for x in names if kinds[x] in NUMBERS]
     if not numbers:
         return {}
-    row = df.agg(*[F.percentile(F.when(~F.isnan(x), F.col(x)), [i / bins for i in range(bins + 1)]).alias(x) for x in numbers]).head()
-    return {x: list(row[x]) for x in numbers if row[x] is not None}
+    value = {x: F.col(x).cast("double") for x in numbers}
+    row = df.agg(*[F.percentile(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v), [i / bins for i in range(bins + 1)]).alias(x) for x, v in value.items()]).head()
+    edges = {x: [round(v, PRECISION) for v in row[x]] for x in numbers if row[x] is not None}
+    return {x: {f"q{i}": e[i : i + 2] for i in range(bins)} for x, e in edges.items()}
 
 
 def write_signal_dataset(df: DataFrame, folder: str, duplicates: int = 0) -> dict[str, Any]:
@@ -57,5 +63,5 @@ def write_signal_dataset(df: DataFrame, folder: str, duplicates: int = 0) -> dic
     sinks.write_json(f"{folder}/schema.json", {"features": {x: kinds[x] for x in features}, "labels": {x: kinds[x] for x in labelled}, "metadata": {x: kinds[x] for x in METADATA if x in kinds}})
     sinks.write_json(f"{folder}/summary.json", summary)
     sinks.write_json(f"{folder}/feature_list.json", features)
-    sinks.write_json(f"{folder}/quantiles.json", quantiles(written, features))
+    sinks.write_json(f"{folder}/quantiles.json", {"_meta": {"bins": 4, "label_scheme": "zero_based"}} | quantiles(written, features))
     return summary

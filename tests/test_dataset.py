@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from barsmith.export import script
 from barsmith.operators import dataset, discovery, labels, ml, patterns, scoring
 
 
@@ -67,5 +68,7 @@ def test_signal_dataset_files(spark, tmp_path):
     assert {r.alpha_score for r in back.filter("close > ema_200").collect()} == {100.0}
     assert back.filter("session_id <> 's:day' or weekday <> extract(dayofweek_iso from timestamp)").count() == 0
     quantiles = json.loads((tmp_path / "quantiles.json").read_text())
-    assert all(len(v) == 5 and v == sorted(v) for v in quantiles.values()) and "atr_14" in quantiles
+    bounds = {k: [v[q] for q in ("q0", "q1", "q2", "q3")] for k, v in quantiles.items() if not k.startswith("_")}
+    assert all(b[0][0] <= b[0][1] == b[1][0] <= b[1][1] == b[2][0] and b[3][0] <= b[3][1] for b in bounds.values()) and "atr_14" in bounds
+    assert "atrValue - 3.0" in script.render("t", ["atr_14 == q1"], script.load_quantiles(json.dumps(quantiles)))
     assert set(json.loads((tmp_path / "schema.json").read_text())) == {"features", "labels", "metadata"}
