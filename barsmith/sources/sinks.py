@@ -17,6 +17,13 @@ def write_bars(df: DataFrame, root: str, interval: str) -> None:
     df.withColumn("interval", F.lit(interval)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").parquet(f"{root}/bars")
 
 
+def write_symbol_metadata(df: DataFrame, root: str, interval: str) -> None:
+    """metadata/interval=.../symbol=...: one JSON record a symbol: rows, first and last timestamp, when it was written."""
+    about = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("total_candles"), F.min("timestamp").alias("first_candle"), F.max("timestamp").alias("last_candle"))
+    about = about.withColumn("updated_at", F.current_timestamp()).withColumn("interval", F.lit(interval))
+    about.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").json(f"{root}/metadata")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that df may have been read from: written aside, then renamed into place."""
     spark = df.sparkSession
