@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions import indicators as ind
+from barsmith.operators.windows import percentile_rank_values
 from barsmith.plans.sql import with_bars, with_features
 from barsmith.sources import bars as src
 
@@ -107,3 +108,19 @@ def forward_return_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adx_rsi_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.with_macd(ind.with_rsi(ind.with_adx(src.daily(spark, sf_dir)))), KEYS, ["adx_14", "rsi_14", "macd_line", "macd_signal", "macd_hist"])
 
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    """Closes with holes: every third volume has none."""
+    return src.daily(s, d).select(*KEYS, F.when(F.col("volume") % 3 != 0, F.col("close")).alias("x"))
+
+
+query(
+    "percentile_rank_values",
+    with_bars(
+        "daily",
+        """, gaps AS (SELECT symbol, timestamp, CASE WHEN volume % 3 <> 0 THEN close END AS x FROM bars),
+        seen AS (SELECT *, list(x) OVER (PARTITION BY symbol, x IS NULL ORDER BY timestamp ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS v FROM gaps)
+        SELECT symbol, timestamp, round(CASE WHEN x IS NOT NULL THEN len(list_filter(v, lambda y: y <= x)) * 100.0::DOUBLE / len(v) END, 6) + 0::DOUBLE AS pct FROM seen""",
+    ),
+)(lambda s, d: rounded(_gaps(s, d).withColumn("pct", percentile_rank_values("x")), KEYS, ["pct"]))
