@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from barsmith.export import strategy
 from barsmith.functions import context as ctx
 from barsmith.functions.indicators import ema_signals
-from barsmith.operators import backtest, dataset, discovery, labels, patterns, portfolio, research, scoring
+from barsmith.operators import backtest, dataset, discovery, labels, patterns, portfolio, reports, research, scoring
 from barsmith.sources import bars as src
-from barsmith.sources import sinks
+from barsmith.sources import results, sinks
 
 MODES = ("forward_return", "event", "optimize", "factors", "portfolio", "context", "alpha", "strategies", "signal_dataset", "signal_discovery", "signal_patterns")
 EXPORT = "pine"
@@ -66,7 +67,12 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
     if mode == "signal_discovery":
         return {"importance": discovery.feature_importance(data, numeric, categorical), "stability": discovery.stability(data, numeric, "future_return_20"), "categories": discovery.category_stats(data, categorical, "future_return_20"), "combinations": discovery.top_combinations(data, numeric, categorical)}
     stats, valid = patterns.mine(data, numeric, categorical)
-    return {"candidates": stats, "walk_forward": valid, "ranking": patterns.base_ranking(stats, valid), "similarity": patterns.similar_rules(valid, cluster=patterns.feature_clusters(data, numeric, categorical))}
+    importance = {r["feature"]: r["composite_score"] for r in discovery.feature_importance(data, numeric, categorical).select("feature", "composite_score").collect()}
+    cluster = patterns.feature_clusters(data, numeric, categorical, importance)
+    ranking = patterns.base_ranking(stats, valid).persist()  # read by the groups, their best rules and the reports
+    diverse = patterns.diverse_ranking(ranking, cluster)
+    of = bars.sparkSession.createDataFrame([(f, r, importance.get(f)) for f, r in sorted(cluster.items())], "feature string, representative string, importance double")
+    return {"candidates": stats, "walk_forward": valid, "ranking": ranking, "similarity": patterns.similar_rules(valid, cluster=cluster), "diversity": diverse, "clusters": of, "concepts": patterns.concept_counts(diverse, cluster)}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -77,6 +83,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--sizing", choices=portfolio.SIZINGS, default="percent_equity")
     parser.add_argument("--exit-mode", choices=backtest.EXIT_MODES, default="opposite_crossover")
     parser.add_argument("--fixed-bars", type=int, default=10)
+    parser.add_argument("--keep", action="store_true", help="reports of an earlier run stay; new ones get the time in their names")
     parser.add_argument("--interval", default="day", help="the bars' interval, as the signal dataset names it")
     for name, text in (("parameters", "best_parameters.json of optimize"), ("best", "best.json of context"), ("weights", "weights.json of alpha"), ("patterns", "ranking.json of signal_patterns, for a rule's script"), ("quantiles", "quantiles.json of signal_dataset, for a rule's script"), ("symbol", "whose results; the first by name otherwise")):
         parser.add_argument(f"--{name}", default=None if name == "symbol" else "", help=f"pine: {text}")
@@ -92,13 +99,21 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import functions as F
 
         bars = bars.withColumn("symbol", F.lit("BARS"))
-    for name, df in run(args.mode, bars, args.sizing, args.exit_mode, args.fixed_bars, args.interval).items():
+    made = run(args.mode, bars, args.sizing, args.exit_mode, args.fixed_bars, args.interval)
+    for name, df in made.items():
         if args.mode == "signal_dataset":
             dataset.write_signal_dataset(df, args.out, sum(r["duplicates"] for r in labels.duplicate_rows(bars).collect()))
         elif name in ("dataset", "forward_returns"):
             df.write.mode("overwrite").parquet(f"{args.out}/{name}.parquet")
         else:
-            sinks.write_report(df, args.out, name)
+            path = sinks.write_report(df, args.out, name, keep=args.keep)
+            if name == "weights":
+                results.write_weights(df, path.with_suffix(".json"))
+    if args.mode == "signal_patterns":
+        rows = made["clusters"].collect()
+        text = reports.diversity_report(made["ranking"], made["diversity"], made["similarity"], {r["feature"]: r["representative"] for r in rows}, {r["feature"]: r["importance"] or 0.0 for r in rows})
+        path = Path(args.out) / "diversity.md"
+        (sinks.fresh_path(path) if args.keep else path).write_text(text)
     return 0
 
 

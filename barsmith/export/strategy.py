@@ -181,7 +181,8 @@ def load_best(path: str, symbol: str | None = None) -> dict[str, str]:
 def load_weights(path: str, symbol: str | None = None) -> list[dict[str, Any]]:
     """Weight entries, from {"weights": [...]} or from this library's report."""
     data = _load(path, "alpha")
-    return data.get("weights", []) if isinstance(data, dict) else _of_symbol(data, symbol)
+    rows = data.get("weights", []) if isinstance(data, dict) else data
+    return _of_symbol(rows, symbol) if isinstance(data, list) or any(r.get("symbol") for r in rows) else rows
 
 
 def export(folder: str, *, parameters: str = "", best: str = "", weights: str = "", patterns: str = "", quantiles: str = "", symbol: str | None = None) -> tuple[Path, Path]:

@@ -73,6 +73,24 @@ def _sided(name: str, group: str, cond: Column, yes: str, no: str, null: bool =
     return ContextFeature(name, group, label, sure.cast("double"))
 
 
+#: Features that users add, with whether their number is bucketed.
+_ADDED: dict[str, tuple[ContextFeature, bool]] = {}
+
+
+def register(feature: ContextFeature, numeric: bool = False) -> None:
+    """Add a feature to those of every function here; numeric: by its number, else by its label. A name can't be taken twice."""
+    if feature.name in ORDER or feature.name in _ADDED:
+        raise ValueError(f"context feature {feature.name!r} is registered already")
+    if feature.group not in CATEGORIES:
+        raise ValueError(f"no group {feature.group!r}; there are {sorted(CATEGORIES)}")
+    _ADDED[feature.name] = (feature, numeric)
+
+
+def unregister(name: str) -> None:
+    """Take back a feature that was added."""
+    del _ADDED[name]
+
+
 def features() -> list[ContextFeature]:
     t = c("timestamp")
     between = (c("close") >= c("or_low")) & (c("close") <= c("or_high"))
@@ -92,7 +110,7 @@ def features() -> list[ContextFeature]:
         ContextFeature("month", "time", F.date_format(t, "MMM"), F.month(t).cast("double")),
         ContextFeature("quarter", "time", F.concat(F.lit("Q"), F.quarter(t)), F.quarter(t).cast("double")),
     )}
-    return [made[n] for n in ORDER]
+    return [*(made[n] for n in ORDER), *(f for f, _ in _ADDED.values())]
 
 
 def with_context(df: DataFrame) -> DataFrame:
@@ -103,8 +121,8 @@ def with_context(df: DataFrame) -> DataFrame:
 
 def numeric_features() -> list[str]:
     """Columns of the features that have a number to bucket; categorical_features has the others, by their labels."""
-    return [f"num_{x}" for x in ORDER if x in BUCKETS]
+    return [f"num_{x}" for x in [*(n for n in ORDER if n in BUCKETS), *(n for n, (_, numeric) in _ADDED.items() if numeric)]]
 
 
 def categorical_features() -> list[str]:
-    return [f"ctx_{x}" for x in ORDER if x not in BUCKETS]
+    return [f"ctx_{x}" for x in [*(n for n in ORDER if n not in BUCKETS), *(n for n, (_, numeric) in _ADDED.items() if not numeric)]]

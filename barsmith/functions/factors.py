@@ -36,6 +36,15 @@ FACTORS: dict[str, Factor] = {f.name: f for f in (
     Factor("VWAP", with_vwap, lambda: c("close") > c("vwap"), {"mode": "session"}),
     Factor("ATR", _once("atr_pct", with_atr), lambda: (c("atr_pct") >= 20.0) & (c("atr_pct") <= 80.0), {"low": 20.0, "high": 80.0}),
 )}
+
+
+def register(factor: Factor) -> None:
+    """Add a factor to those that enrich and combined know; a name can't be taken twice."""
+    if factor.name in FACTORS:
+        raise ValueError(f"factor {factor.name!r} is registered already")
+    FACTORS[factor.name] = factor
+
+
 #: The combinations that are compared.
 COMBINATIONS: tuple[tuple[str, ...], ...] = (("EMA",), ("EMA", "RSI"), ("EMA", "MACD"), ("EMA", "VWAP"), ("EMA", "ATR"), ("EMA", "RSI", "MACD"), ("EMA", "RSI", "VWAP"), ("EMA", "RSI", "ATR"), ("EMA", "MACD", "VWAP"))
 

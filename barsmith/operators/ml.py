@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barsmith.sources.sinks import write_report
+
 c = F.col
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
 # Columns that are never features.
@@ -109,6 +111,23 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def predict_file(path: str, df: DataFrame, out: str | None = None) -> DataFrame:
+    """The probabilities of a saved model for df; out: they are also written there as CSV, in a column named probability, by the executors."""
+    found = predict(load(path), df)
+    if out is not None:
+        found.select(c("p").alias("probability")).write.mode("overwrite").csv(out, header=True)
+    return found
+
+
+def write_outputs(model: PipelineModel, df: DataFrame, features: list[str], folder: str) -> None:
+    """A run's model, metrics, importance and probabilities in a folder; df has the features and target. The probabilities are a table."""
+    save(model, f"{folder}/model")
+    found = predict(model, df)
+    found.select("target", "p").write.mode("overwrite").parquet(f"{folder}/probabilities.parquet")
+    write_report(metrics(found), folder, "metrics")
+    write_report(model_importance(model, features).orderBy(F.desc("model_importance"), "feature"), folder, "importance")
+
+
 def _keyed(keys: tuple[str, ...]) -> list[str]:
     return list(keys)
 

@@ -219,8 +219,8 @@ def similar_rules(ranked: DataFrame, top: int = 10, cluster: dict[str, str] | No
     return met.withColumn("position", F.row_number().over(w)).filter(c("position") <= top).select("rule", "other", "similarity", "position")
 
 
-def representatives(ranked: DataFrame, cluster: dict[str, str] | None = None) -> dict[str, str]:
-    """Feature set to its component's feature set of best rank: sets are linked at a similarity of 0.85.
+def feature_groups(ranked: DataFrame, cluster: dict[str, str] | None = None) -> dict[str, str]:
+    """Feature set to its component's feature set of best rank, sets by rank: sets are linked at a similarity of 0.85.
 
     Works on distinct feature sets, whose number the catalogue bounds (MOST_SETS), on the driver.
     """
@@ -248,6 +248,30 @@ def representatives(ranked: DataFrame, cluster: dict[str, str] | None = None) ->
     return {rows[i]["features"]: rows[find(i)]["features"] for i in range(len(sets))}
 
 
+def representatives(ranked: DataFrame, cluster: dict[str, str] | None = None) -> DataFrame:
+    """One rule a component of alike feature sets: (group, members, features, buckets, base_score, is_robust).
+
+    The rule is the robust, then the steadiest, the most frequent, the one of highest expectancy, of fewest features, of best score, the first by name.
+    Groups are numbered by their best rank. The map of feature sets is bounded by MOST_SETS and broadcast.
+    """
+    groups = feature_groups(ranked, cluster)
+    number: dict[str, int] = {}
+    rows = [(features, number.setdefault(first, len(number) + 1)) for features, first in groups.items()]
+    of = ranked.sparkSession.createDataFrame(rows, "features string, group int")
+    down = [-F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in ("wf_stability", "signal_frequency", "expectancy")]
+    order = F.struct(~c("is_robust"), *down, "size", -c("base_score"), F.concat_ws(":", "features", "buckets"))
+    best = F.min_by(F.struct("features", "buckets", "base_score", "is_robust"), order)
+    return ranked.join(F.broadcast(of), "features").groupBy("group").agg(F.count(F.lit(1)).alias("members"), best.alias("b")).select("group", "members", "b.*")
+
+
+def diverse_ranking(ranked: DataFrame, cluster: dict[str, str] | None = None) -> DataFrame:
+    """The representatives, greedily ordered by score and diversity; the order is sequential, so on the driver, over at most MOST_SETS rules."""
+    rows = {f"{r['features']}:{r['buckets']}": r for r in representatives(ranked, cluster).collect()}
+    rules = [(name, tuple(r["features"].split("|")), r["base_score"]) for name, r in rows.items()]
+    out = [(i, name, rows[name]["features"], rows[name]["buckets"], f"group_{rows[name]['group']:03d}", rows[name]["members"], float(rows[name]["base_score"]), float(score), float(d), rows[name]["is_robust"]) for i, (name, score, d) in enumerate(rerank(rules, cluster), 1)]
+    return ranked.sparkSession.createDataFrame(out, "rank int, rule string, features string, buckets string, group string, members long, base_score double, adjusted_score double, diversity_score double, is_robust boolean")
+
+
 def rerank(rules: list[tuple[str, tuple[str, ...], float]], cluster: dict[str, str] | None = None) -> list[tuple[str, float, float]]:
     """Greedy choice by score times diversity against what is chosen: (rule, adjusted score, diversity), in order.
 

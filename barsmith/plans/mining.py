@@ -163,12 +163,7 @@ query("feature_links", with_features("daily", DATA + " SELECT feature_left, feat
 
 
 def _diversity(ranked: DataFrame, cluster: dict[str, str]) -> DataFrame:
-    """The best rule of each component of alike feature sets, greedily ordered by score and diversity; sequential, so on the driver over bounded feature sets."""
-    chosen = pt.representatives(ranked, cluster)
-    best = ranked.filter(F.col("features").isin(sorted(set(chosen.values())))).groupBy("features").agg(F.min_by(F.struct("buckets", "base_score"), "rank").alias("b")).collect()
-    rules = [(f"{r['features']}:{r['b']['buckets']}", tuple(r["features"].split("|")), r["b"]["base_score"]) for r in best]
-    rows = [(i + 1, name, float(score), float(d)) for i, (name, score, d) in enumerate(pt.rerank(rules, cluster))]
-    return ranked.sparkSession.createDataFrame(rows, "rank int, rule string, adjusted_score double, diversity_score double")
+    return pt.diverse_ranking(ranked, cluster).select("rank", "rule", "adjusted_score", "diversity_score")
 
 
 @query("rule_diversity")

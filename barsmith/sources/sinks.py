@@ -8,7 +8,7 @@ import math
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,19 @@ def write_symbol_metadata(df: DataFrame, root: str, interval: str) -> None:
     about.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").json(f"{root}/metadata")
 
 
+def settle_table(spark: SparkSession, path: str) -> None:
+    """Put back the table of a replace_table that ended between its two renames; nothing to do otherwise. Readers call it first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)) and fs.exists(hadoop(f"{path}.old")):
+        fs.rename(hadoop(f"{path}.old"), hadoop(path))
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that df may have been read from: written aside, then renamed into place."""
     spark = df.sparkSession
     aside, old = f"{path}.new", f"{path}.old"
+    settle_table(spark, path)
     df.write.mode("overwrite").parquet(aside)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,8 +70,11 @@ def write_json(path: str | Path, payload: Any) -> Path:
     return path
 
 
-def write_report(df: DataFrame, folder: str | Path, name: str, order: list[str] | None = None, limit: int = 100_000) -> Path:
-    """A small result as one CSV, and its rows as JSON. More than limit rows are refused: such results belong in tables."""
+def write_report(df: DataFrame, folder: str | Path, name: str, order: list[str] | None = None, limit: int = 100_000, keep: bool = False) -> Path:
+    """A small result as one CSV, and its rows as JSON. More than limit rows are refused: such results belong in tables.
+
+    keep: files of that name stay; these get the time in theirs.
+    """
     rows = (df.orderBy(*order) if order else df).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{name} has more than {limit} rows; write it as a table")
@@ -70,12 +82,12 @@ def write_report(df: DataFrame, folder: str | Path, name: str, order: list[str]
     folder.mkdir(parents=True, exist_ok=True)
     import csv
 
-    path = folder / f"{name}.csv"
+    path = fresh_path(folder / f"{name}.csv") if keep else folder / f"{name}.csv"
     with path.open("w", newline="") as f:
         out = csv.writer(f)
         out.writerow(df.columns)
         out.writerows(rows)
-    write_json(folder / f"{name}.json", [r.asDict() for r in rows])
+    write_json(path.with_suffix(".json"), [r.asDict() for r in rows])
     return path
 
 
