@@ -35,13 +35,13 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
     if mode == "forward_return":
         return {"forward_returns": ema_signals(bars, horizons=(1, 3, 5, 10, 20)).filter("bullish_crossover").drop("rn")}
     if mode in ("event", "portfolio"):
-        trades = backtest.run_backtest(ema_signals(bars), exit_mode, fixed_bars)
+        trades = backtest.run_backtest(ema_signals(bars), exit_mode, fixed_bars).persist()
         if mode == "event":
             return {"trades": trades, "equity_curve": backtest.equity_curve(trades), "summary": backtest.compute_metrics(trades), "regimes": backtest.regime_summaries(trades)}
-        equity = portfolio.simulate(trades, sizing)
+        equity = portfolio.simulate(trades, sizing).persist()
         return {"equity": equity, "metrics": portfolio.metrics(equity), "monthly": portfolio.period_returns(equity, True), "yearly": portfolio.period_returns(equity, False), "rolling_sharpe": portfolio.rolling_sharpe(equity), "rolling_drawdown": portfolio.rolling_drawdown(equity)}
     if mode == "optimize":
-        summary = research.walkforward(bars)
+        summary = research.walkforward(bars).persist()
         board = research.walkforward_leaderboard(summary)
         return {"summary": summary, "leaderboard": board, "best_parameters": research.best_parameters(board)}
     if mode == "factors":
@@ -51,18 +51,18 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
         cards = research.scorecards(research.strategy_trades(bars))
         return {"scorecards": cards, "leaderboard": research.strategy_leaderboard(cards)}
     if mode in ("context", "alpha"):
-        trades = _contexts(bars)
-        summary = scoring.bucket_metrics(trades)
+        trades = _contexts(bars).persist()  # every report reads the trades with their contexts, alpha's also the scores
+        summary = scoring.bucket_metrics(trades).persist()
         board = scoring.leaderboard(summary)
         if mode == "context":
             return {"summary": summary, "leaderboard": board, "best": scoring.best_buckets(board, summary), "correlation": scoring.correlations(trades)}
-        weights = scoring.weights(board)
-        scored = scoring.score_trades(trades, weights)
+        weights = scoring.weights(board).persist()
+        scored = scoring.score_trades(trades, weights).persist()
         return {"weights": weights, "scores": scored, "analysis": scoring.score_analysis(scored), "validation": scoring.score_validation(scored), "summary": scoring.score_summary(scored)}
     if mode == "signal_dataset":
         weights = scoring.weights(scoring.leaderboard(scoring.bucket_metrics(_contexts(bars))))
         return {"dataset": dataset.signal_dataset(bars, weights, interval)}
-    data = signal_dataset(bars)
+    data = signal_dataset(bars).persist()
     numeric, categorical = ctx.numeric_features(), ctx.categorical_features()
     if mode == "signal_discovery":
         return {"importance": discovery.feature_importance(data, numeric, categorical), "stability": discovery.stability(data, numeric, "future_return_20"), "categories": discovery.category_stats(data, categorical, "future_return_20"), "combinations": discovery.top_combinations(data, numeric, categorical)}
@@ -114,6 +114,7 @@ def main(argv: list[str] | None = None) -> int:
         text = reports.diversity_report(made["ranking"], made["diversity"], made["similarity"], {r["feature"]: r["representative"] for r in rows}, {r["feature"]: r["importance"] or 0.0 for r in rows})
         path = Path(args.out) / "diversity.md"
         (sinks.fresh_path(path) if args.keep else path).write_text(text)
+    spark.catalog.clearCache()  # what run keeps for its reports
     return 0
 
 
