@@ -66,8 +66,8 @@ def run(mode: str, bars: DataFrame, sizing: str = "percent_equity", exit_mode: s
     numeric, categorical = ctx.numeric_features(), ctx.categorical_features()
     if mode == "signal_discovery":
         return {"importance": discovery.feature_importance(data, numeric, categorical), "stability": discovery.stability(data, numeric, "future_return_20"), "categories": discovery.category_stats(data, categorical, "future_return_20"), "combinations": discovery.top_combinations(data, numeric, categorical)}
-    stats, valid = patterns.mine(data, numeric, categorical)
-    importance = {r["feature"]: r["composite_score"] for r in discovery.feature_importance(data, numeric, categorical).select("feature", "composite_score").collect()}
+    importance = {r["feature"]: r["composite_score"] for r in discovery.feature_importance(data, numeric, categorical).orderBy("rank").select("feature", "composite_score").collect()}
+    stats, valid = patterns.mine(data, numeric, categorical, importance=importance)
     cluster = patterns.feature_clusters(data, numeric, categorical, importance)
     ranking = patterns.base_ranking(stats, valid).persist()  # read by the groups, their best rules and the reports
     diverse = patterns.diverse_ranking(ranking, cluster)

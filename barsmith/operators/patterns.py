@@ -179,10 +179,14 @@ def top_features(df: DataFrame, numeric: list[str], categorical: list[str], top:
     return [x for x in best if x in numeric], [x for x in best if x in categorical]
 
 
-def mine(df: DataFrame, numeric: list[str], categorical: list[str], top: int = TOP) -> tuple[DataFrame, DataFrame]:
-    """Statistics and validation of the rules of every size on the top features."""
+def mine(df: DataFrame, numeric: list[str], categorical: list[str], top: int = TOP, importance: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Statistics and validation of the rules of every size on the top features. importance: the features by rank, if they are known."""
     df = df.persist()
-    numeric, categorical = top_features(df, numeric, categorical, top)
+    if importance is None:
+        numeric, categorical = top_features(df, numeric, categorical, top)
+    else:
+        best = list(importance)[:top]
+        numeric, categorical = [x for x in best if x in numeric], [x for x in best if x in categorical]
     stats = evaluate(bucket_columns(df, numeric, categorical), [*numeric, *categorical]).persist()
     return stats, walk_forward(df, numeric, categorical, stats)
 
