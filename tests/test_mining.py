@@ -44,6 +44,8 @@ def test_rules_of_every_size_by_brute_force(data):
     assert got == want and {len(r) for r in got} == {2, 3, 4} and valid.count() == len(want)
     few = patterns.top_features(df, NUMERIC, CATEGORICAL, 2)
     assert sum(map(len, few)) == 2 and "n1" in few[0]
+    known, _ = patterns.mine(df, NUMERIC, CATEGORICAL, 2, {"k1": 0.3, "n2": 0.2, "n0": 0.1})
+    assert {frozenset(r.features.split("|")) for r in known.select("features").collect()} == {frozenset(("k1", "n2"))}
 
 
 def test_whole_job_has_all_features():
