@@ -99,8 +99,8 @@ def train(df: DataFrame, name: str, features: list[str]) -> PipelineModel:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds p, the probability of the positive class."""
-    return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    """Adds p, the probability of the positive class. A forest trained without a positive row knows one class, and p is 0."""
+    return model.transform(df).withColumn("p", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
 def save(model: PipelineModel, path: str) -> None:

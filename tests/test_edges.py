@@ -130,3 +130,9 @@ def test_models_train_save_and_load(spark, tmp_path):
     assert top[0]["feature"] == "x" and top[0]["importance_mean"] > 0.1
     with pytest.raises(ValueError):
         ml.binary_target(df.withColumn("label", F.col("volume")))
+
+
+def test_forest_that_met_one_class_only(spark):
+    df = spark.range(60).select((F.col("id") % 7).cast("double").alias("x"), F.lit("NONE").alias("label"), F.when(F.col("id") < 40, "train").otherwise("test").alias("split"))
+    (row,) = ml.experiment(df, ["x"], ("TOP",), ("random_forest",)).collect()
+    assert (row.tp, row.fp, row.fn, row.tn, row.brier, row.roc_auc) == (0, 0, 0, 20, 0.0, None)
