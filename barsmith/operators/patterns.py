@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ SUSPICIOUS_WIN_RATE, SUSPICIOUS_SAMPLES = 0.98, 45
 REPRESENTATIVE, ZERO, MODERATE = 0.85, 0.85, 0.50
 #: Feature sets whose pairs are compared on the driver: those of 25 features in sets of 2 to 4.
 MOST_SETS = 15_250
+#: Rows of a block, whose feature sets are counted in one go, and sets that a task takes.
+BLOCK, PART = 100_000, 320
 
 
 def bucket_columns(df: DataFrame, numeric: list[str], categorical: list[str], bins: int = 4, by: str | None = None) -> DataFrame:
@@ -54,13 +59,7 @@ def rule_groups(df: DataFrame, names: list[str], aggregates: list[Column], sizes
     only groups are unpacked.
     """
     df, values = _codes(df, names)
-    base = max((len(v) for v in values), default=0) + 1
-    sets = [s for k in sizes for s in combinations(range(len(names)), k)]
-    if not sets:
-        raise ValueError("there are fewer features than the smallest combination")
-    width = max(sizes)
-    if len(sets) * base**width >= 2**63:
-        raise ValueError("too many buckets to pack")
+    sets, base, width = _catalogue(values, sizes)
     catalogue = df.sparkSession.createDataFrame([(i, [*s, *[-1] * (width - len(s))]) for i, s in enumerate(sets)], "_set bigint, _at array<int>")
     packed = c("_set")
     for p in range(width):
@@ -68,14 +67,29 @@ def rule_groups(df: DataFrame, names: list[str], aggregates: list[Column], sizes
         packed = packed * base + F.when(at >= 0, F.element_at("_codes", F.greatest(at, F.lit(0)) + 1)).otherwise(F.lit(0))
     rows = df.crossJoin(F.broadcast(catalogue)).withColumn("_key", packed)
     groups = rows.groupBy(*keys, "_key").agg(*aggregates)
-    numbers = [F.floor(c("_key") / base ** (width - 1 - p)) % base for p in range(width)]
-    which = F.element_at(F.array(*[F.array(*[F.lit(i) for i in s]) for s in sets]), (F.floor(c("_key") / base**width) + 1).cast("int"))
-    feature = F.array(*map(F.lit, names))
+    return _unpacked(groups, names, values, sizes)
+
+
+def _catalogue(values: list[list[str]], sizes: tuple[int, ...]) -> tuple[list[tuple[int, ...]], int, int]:
+    """The feature sets by number, and the base and width of the numbers that pack a set with its buckets."""
+    base = max((len(v) for v in values), default=0) + 1
+    sets = [s for k in sizes for s in combinations(range(len(values)), k)]
+    if not sets:
+        raise ValueError("there are fewer features than the smallest combination")
+    if len(sets) * base ** max(sizes) >= 2**63:
+        raise ValueError("too many buckets to pack")
+    return sets, base, max(sizes)
+
+
+def _unpacked(groups: DataFrame, names: list[str], values: list[list[str]], sizes: tuple[int, ...]) -> DataFrame:
+    """features and buckets in place of _key; the names come from a broadcast list of the sets."""
+    sets, base, width = _catalogue(values, sizes)
+    listed = groups.sparkSession.createDataFrame([(i, list(s), "|".join(names[x] for x in s)) for i, s in enumerate(sets)], "_set bigint, _s array<int>, features string")
+    numbers = F.array(*[(F.floor(c("_key") / base ** (width - 1 - p)) % base).cast("int") for p in range(width)])
     bucket = F.array(*[F.array(*map(F.lit, [*v, *[""] * (base - 1 - len(v))])) for v in values])
-    out = groups.withColumn("_s", which).withColumn("_n", F.array(*[n.cast("int") for n in numbers]))
-    out = out.withColumn("features", F.transform("_s", lambda i: F.element_at(feature, i + 1)))
-    out = out.withColumn("buckets", F.transform("_s", lambda i, k: F.element_at(F.element_at(bucket, i + 1), F.element_at(c("_n"), k + 1))))
-    return out.withColumns({"features": F.array_join("features", "|"), "buckets": F.array_join("buckets", "|")}).drop("_key", "_s", "_n")
+    out = groups.withColumns({"_set": F.floor(c("_key") / base**width), "_n": numbers}).join(F.broadcast(listed), "_set")
+    buckets = F.transform("_s", lambda i, k: F.element_at(F.element_at(bucket, i + 1), F.element_at(c("_n"), k + 1)))
+    return out.withColumn("buckets", F.array_join(buckets, "|")).drop("_key", "_set", "_s", "_n")
 
 
 def candidates(df: DataFrame, names: list[str], sizes: tuple[int, ...] = SIZES, least: int = MIN_SAMPLES) -> DataFrame:
@@ -96,11 +110,147 @@ def statistics(target: str, mfe: str, mae: str) -> list[Column]:
     return [n.alias("signal_frequency"), win.alias("win_rate"), F.avg(t).alias("average_return"), F.median(t).alias("median_return"), F.when(loss > EPS, gain / loss).alias("profit_factor"), expectancy.alias("expectancy"), F.avg(mfe).alias("average_mfe"), F.avg(mae).alias("average_mae")]
 
 
+_SUMS = ("wins", "losses", "total", "gain", "loss", "mfe", "mfes", "mae", "maes")
+
+
+def _ordered(table: pa.Table, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's rows in order of target: the buckets' numbers by feature, the parts, the targets (those without last, as NaN), and what is summed of those with one."""
+    column = {x: table.column(x).combine_chunks() for x in table.column_names}
+    y = column["_y"].to_numpy(zero_copy_only=False)
+    y = np.where(np.isfinite(y), y, np.nan)
+    order = np.argsort(y, kind="stable")
+    y = y[order]
+    codes = np.stack([column[f"_c{i}"].to_numpy(zero_copy_only=False)[order].astype(np.int64) for i in range(names)])
+    t = y[: np.count_nonzero(~np.isnan(y))]
+    ends = []
+    for x in ("_mfe", "_mae"):
+        there = column[x].is_valid().to_numpy(zero_copy_only=False)[order][: len(t)]
+        ends += [np.where(there, column[x].to_numpy(zero_copy_only=False)[order][: len(t)], 0.0), there.astype(float)]
+    sums = np.stack([(t > 0).astype(float), (t < 0).astype(float), t, np.where(t > 0, t, 0.0), np.where(t < 0, -t, 0.0), *ends])
+    return codes, column["_part"].to_numpy(zero_copy_only=False)[order].astype(np.int64), y, sums
+
+
+def _grouped(codes: np.ndarray, part: np.ndarray, s: tuple[int, ...], radix: list[int], base: int, width: int) -> tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """Each row's number among the buckets of the set, small; and what turns such numbers into (part, packed buckets)."""
+    key = part
+    for f in s:
+        key = key * radix[f] + codes[f]
+
+    def spread(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        packed = np.zeros(len(found), np.int64)
+        for k in reversed(range(len(s))):
+            packed += found % radix[s[k]] * base ** (width - 1 - k)
+            found = found // radix[s[k]]
+        return found, packed
+
+    return key, spread
+
+
+def _small(key: np.ndarray) -> np.ndarray:
+    """Numbers under 2**16 are sorted by radix."""
+    return key.astype(np.uint16) if len(key) and key.max() < 2**16 else key
+
+
+def _counted(table: pa.Table, sets: dict[int, tuple[int, ...]], radix: list[int], base: int, width: int, block: int, whole: bool, least: int, least_stats: int) -> pa.Table:
+    """Counts, sums and the median of every bucket combination of the sets among a block's rows. whole: there is one block, so that small groups are dropped at once."""
+    codes, part, y, sums = _ordered(table, len(radix))
+    m, out = sums.shape[1], []
+    for number, s in sets.items():
+        key, spread = _grouped(codes, part, s, radix, base, width)
+        dense = None
+        if len(key) and key.max() > 16 * len(key):  # many more combinations than rows
+            dense, key = np.unique(key, return_inverse=True)
+        samples = np.bincount(key)
+        order = np.argsort(_small(key[:m]), kind="stable")
+        sorted_ = key[order]
+        starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        n = np.zeros(len(samples), np.int64)
+        n[sorted_[starts]] = np.diff(starts, append=m)
+        figures = np.zeros((len(_SUMS) + 1, len(samples)))
+        if m:
+            figures[:-1, sorted_[starts]] = np.add.reduceat(sums[:, order], starts, axis=1)
+            k = n[sorted_[starts]]
+            figures[-1, sorted_[starts]] = (y[order[starts + (k - 1) // 2]] + y[order[starts + k // 2]]) / 2
+        found = np.flatnonzero((samples >= least) & (n >= least_stats) if whole else samples > 0)
+        at, packed = spread(found if dense is None else dense[found])
+        out.append((at, number * base**width + packed, samples[found], n[found], figures[:, found]))
+    parts, keys, samples, n, figures = (np.concatenate(x, axis=-1) for x in zip(*out, strict=True))
+    return pa.table([parts.astype(np.int32), keys, np.full(len(keys), block, np.int32), samples, n, *figures], ["_part", "_key", "_block", "samples", "n", *_SUMS, "median_return"])
+
+
+def _placed(wanted: pa.Table, table: pa.Table, sets: dict[int, tuple[int, ...]], radix: list[int], base: int, width: int) -> pa.Table:
+    """The targets at the wanted places, from 0, of a block's groups."""
+    codes, part, _, sums = _ordered(table, len(radix))
+    y = sums[2]
+    keys, parts, places = (wanted.column(x).to_numpy() for x in ("_key", "_part", "_place"))
+    order = np.argsort(keys // base**width, kind="stable")
+    keys, parts, places = keys[order], parts[order], places[order]
+    bounds = np.flatnonzero(np.diff(keys // base**width, prepend=-1))
+    values = np.empty(len(keys))
+    for a, b in zip(bounds, [*bounds[1:], len(keys)], strict=False):
+        key, spread = _grouped(codes, part, sets[int(keys[a]) // base**width], radix, base, width)
+        rows = np.argsort(_small(key[: len(y)]), kind="stable")
+        starts = np.flatnonzero(np.diff(key[rows], prepend=-1))
+        at, packed = spread(key[rows][starts])
+        start = {(int(i), int(j)): k for i, j, k in zip(at, packed, starts, strict=True)}
+        values[a:b] = [y[rows[start[int(i), int(j)] + k]] for i, j, k in zip(parts[a:b], keys[a:b] % base**width, places[a:b], strict=True)]
+    return pa.table([parts, keys, values], ["_part", "_key", "_value"])
+
+
+def rule_statistics(df: DataFrame, names: list[str], target: str, mfe: str, mae: str, sizes: tuple[int, ...] = SIZES, part: Column | None = None, least: int = 0, least_stats: int = 1) -> tuple[DataFrame, list[list[str]]]:
+    """statistics() of every bucket combination of every feature set, (_part, _key, samples, ...), for _unpacked with the buckets that come with it.
+
+    Groups with at least `least` rows, rows without a target included, and `least_stats` rows with one. part: a number
+    under a hundred that splits the groups. Rows go to blocks of near targets, at most about BLOCK rows each, and a
+    task takes the rows of a block and PART sets. Counts and sums of several blocks add up; the places of a median are
+    looked up in the block that holds them, so that medians are exact.
+    """
+    df, values = _codes(df, names)
+    sets, base, width = _catalogue(values, sizes)
+    radix = [len(v) + 1 for v in values]
+    finite = c(target).isNotNull() & ~F.isnan(c(target).cast("double")) & (F.abs(c(target)) < float("inf"))
+    y = F.when(finite, c(target).cast("double"))
+    rows = df.select(y.alias("_y"), c(mfe).cast("double").alias("_mfe"), c(mae).cast("double").alias("_mae"), (F.lit(0) if part is None else part).cast("tinyint").alias("_part"), *[F.get("_codes", F.lit(i)).cast("int").alias(f"_c{i}") for i in range(len(names))])
+    blocks = -(-df.count() // BLOCK) or 1
+    block = F.lit(0)
+    if blocks > 1:
+        cuts = rows.agg(F.percentile_approx("_y", [i / blocks for i in range(1, blocks)], F.lit(100 * blocks))).head()[0] or []
+        block = sum((F.when(c("_y") > x, 1).otherwise(0) for x in sorted(set(cuts))), F.lit(0))
+        block = F.when(c("_y").isNull(), F.pmod(F.xxhash64(*rows.columns[1:]), F.lit(blocks)).cast("int")).otherwise(block)
+    chunks = -(-len(sets) // PART)
+    dealt = rows.withColumn("_block", block).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(min(blocks * chunks, 4000), "_block", "_chunk")
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        mine = {i: sets[i] for i in range(key[1].as_py(), len(sets), chunks)}
+        return _counted(table, mine, radix, base, width, key[0].as_py(), blocks == 1, least, least_stats)
+
+    numbers = ", ".join(f"{x} double" for x in (*_SUMS, "median_return"))
+    out = dealt.groupBy("_block", "_chunk").applyInArrow(count, f"_part int, _key bigint, _block int, samples bigint, n bigint, {numbers}")
+    if blocks > 1:
+        out = out.persist()
+        all_ = out.groupBy("_part", "_key").agg(*[F.sum(x).alias(x) for x in ("samples", "n", *_SUMS)]).filter((c("samples") >= least) & (c("n") >= least_stats))
+        before = F.sum("n").over(W.partitionBy("_part", "_key").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+        held = out.select("_part", "_key", "_block", c("n").alias("_k"), F.coalesce(before, F.lit(0)).alias("_before")).join(all_.select("_part", "_key", "n"), ["_part", "_key"])
+        place = held.withColumn("_place", F.explode(F.array(F.floor((c("n") - 1) / 2), F.floor(c("n") / 2)))).filter((c("_place") >= c("_before")) & (c("_place") < c("_before") + c("_k")))
+        wanted = place.select("_part", "_key", "_block", (F.floor(c("_key") / base**width) % chunks).cast("int").alias("_chunk"), (c("_place") - c("_before")).alias("_place"))
+
+        def look(wanted: pa.Table, table: pa.Table) -> pa.Table:
+            return _placed(wanted, table, dict(enumerate(sets)), radix, base, width)
+
+        found = wanted.groupBy("_block", "_chunk").cogroup(dealt.groupBy("_block", "_chunk")).applyInArrow(look, "_part int, _key bigint, _value double")
+        out = all_.join(found.groupBy("_part", "_key").agg(F.avg("_value").alias("median_return")), ["_part", "_key"], "left")
+    n, win = c("n"), c("wins") / c("n")
+    expectancy = win * F.coalesce(F.try_divide("gain", "wins"), F.lit(0.0)) + (1.0 - win) * F.coalesce(-F.try_divide("loss", "losses"), F.lit(0.0))
+    return out.select(
+        "_part", "_key", "samples", n.alias("signal_frequency"), win.alias("win_rate"), (c("total") / n).alias("average_return"), "median_return", F.when(c("loss") > EPS, c("gain") / c("loss")).alias("profit_factor"),
+        expectancy.alias("expectancy"), F.try_divide("mfe", "mfes").alias("average_mfe"), F.try_divide("mae", "maes").alias("average_mae"),
+    ), values
+
+
 def evaluate(df: DataFrame, names: list[str], target: str = "future_return_20", mfe: str = "future_high_return", mae: str = "future_low_return", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Statistics of the candidates with enough rows that have a target."""
-    rules = candidates(df, names, sizes)
-    stats = rule_groups(_clean(df, target), names, statistics(target, mfe, mae), sizes).filter(c("signal_frequency") >= MIN_STATS)
-    return stats.join(rules.select("features", "buckets"), ["features", "buckets"])
+    stats, values = rule_statistics(df, names, target, mfe, mae, sizes, least=MIN_SAMPLES, least_stats=MIN_STATS)
+    return _unpacked(stats.drop("_part", "samples"), names, values, sizes).select("features", "buckets", *[x for x in stats.columns if x not in ("_part", "_key", "samples")])
 
 
 def evaluate_rule(df: DataFrame, rule: dict[str, str], target: str = "future_return_20", mfe: str = "future_high_return", mae: str = "future_low_return") -> DataFrame:
@@ -137,8 +287,10 @@ def walk_forward(df: DataFrame, numeric: list[str], categorical: list[str], rule
     """
     names = [*numeric, *categorical]
     split = bucket_columns(with_split(df), numeric, categorical, by="split")
-    stats = rule_groups(_clean(split, target), names, statistics(target, target, target)[:6], sizes, keys=("split",)).filter(c("signal_frequency") >= MIN_SPLIT)
-    wide = stats.groupBy("features", "buckets").agg(*[F.max(F.when(c("split") == s, c(x))).alias(f"{s}_{n}") for s in ("train", "val", "oos") for n, x in (("frequency", "signal_frequency"), ("win_rate", "win_rate"), ("expectancy", "expectancy"), ("profit_factor", "profit_factor"))])
+    number = {s: i for i, s in enumerate(("train", "val", "oos"))}
+    stats, values = rule_statistics(split, names, target, target, target, sizes, F.array_position(F.array(*map(F.lit, number)), c("split")) - 1, least_stats=MIN_SPLIT)
+    wide = stats.groupBy("_key").agg(*[F.max(F.when(c("_part") == i, c(x))).alias(f"{s}_{n}") for s, i in number.items() for n, x in (("frequency", "signal_frequency"), ("win_rate", "win_rate"), ("expectancy", "expectancy"), ("profit_factor", "profit_factor"))])
+    wide = _unpacked(wide, names, values, sizes)
     out = rules.select("features", "buckets").join(wide, ["features", "buckets"], "left")
 
     def spread(x: str) -> tuple[Column, Column]:
@@ -200,6 +352,29 @@ def similarity_metrics(a: frozenset, b: frozenset, cluster: dict[str, str]) -> t
     return max(jaccard, overlap, shared), overlap, shared, jaccard
 
 
+def similarity_rows(sets: list[frozenset], cluster: dict[str, str]) -> Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """similarity_metrics of one of the sets, by its place, with all of them: (similarity, cluster overlap, shared ratio)."""
+    def members(of: list[set]) -> np.ndarray:
+        column = {x: i for i, x in enumerate(sorted(set().union(*of)))}
+        out = np.zeros((len(of), max(len(column), 1)), np.float32)
+        for i, s in enumerate(of):
+            out[i, [column[x] for x in s]] = 1
+        return out
+
+    f, k = members([set(s) for s in sets]), members([{cluster.get(x, x) for x in s} for s in sets])
+    fn, kn = f.sum(axis=1).astype(float), k.sum(axis=1).astype(float)
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        both, near = (f @ f[i]).astype(float), (k @ k[i]).astype(float)
+        overlap, shared = ratio(near, kn + kn[i] - near), ratio(both, np.minimum(fn, fn[i]))
+        return np.maximum(np.maximum(ratio(both, fn + fn[i] - both), overlap), shared), overlap, shared
+
+    return row
+
+
 def diversity_score(similarity: float, overlap: float, shared: float) -> float:
     if overlap <= EPS and shared <= EPS:
         return 1.0
@@ -232,24 +407,17 @@ def feature_groups(ranked: DataFrame, cluster: dict[str, str] | None = None) ->
     if len(rows) > MOST_SETS:
         raise ValueError("more feature sets than the catalogue allows")
     sets = [frozenset(r["features"].split("|")) for r in rows]
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    index: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        near = {j for x in s for j in index.get((cluster or {}).get(x, x), [])}
-        for j in near:
-            if similarity_metrics(s, sets[j], cluster or {})[0] >= REPRESENTATIVE:
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-        for x in s:
-            index.setdefault((cluster or {}).get(x, x), []).append(i)
-    return {rows[i]["features"]: rows[find(i)]["features"] for i in range(len(sets))}
+    row = similarity_rows(sets, cluster or {})
+    of = np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if of[first] >= 0:
+            continue
+        of[first], reached = first, [first]
+        while reached:
+            near = np.flatnonzero((of < 0) & (row(reached.pop())[0] >= REPRESENTATIVE))
+            of[near] = first
+            reached += near.tolist()
+    return {rows[i]["features"]: rows[of[i]]["features"] for i in range(len(sets))}
 
 
 def representatives(ranked: DataFrame, cluster: dict[str, str] | None = None) -> DataFrame:
@@ -281,26 +449,27 @@ def rerank(rules: list[tuple[str, tuple[str, ...], float]], cluster: dict[str, s
 
     rules: (name, features, base score). Scores only fall, so a heap entry that is out of date is one that has been pushed again.
     """
-    cluster = cluster or {}
-    sets = {name: frozenset(f) for name, f, _ in rules}
-    base = {name: s for name, _, s in rules}
-    strongest = {name: (0.0, 0.0, 0.0) for name in base}
-    heap = [(-s, -1.0, -s, name) for name, s in base.items()]
+    place = {name: i for i, (name, _, _) in enumerate(rules)}
+    row = similarity_rows([frozenset(f) for _, f, _ in rules], cluster or {}) if rules else None
+    base = [s for _, _, s in rules]
+    strongest, diversity_of, left = np.zeros((3, len(rules))), np.ones(len(rules)), np.ones(len(rules), bool)
+    heap = [(-s, -1.0, -s, name) for name, _, s in rules]
     heapq.heapify(heap)
-    out, left = [], set(base)
+    out = []
     while heap:
         adjusted, diversity, _, name = heapq.heappop(heap)
-        if name not in left or -diversity != (diversity_score(*strongest[name]) if strongest[name] != (0.0, 0.0, 0.0) else 1.0):
+        i = place[name]
+        if not left[i] or -diversity != diversity_of[i]:
             continue
-        left.discard(name)
+        left[i] = False
         out.append((name, -adjusted, -diversity))
-        for other in left:
-            now = similarity_metrics(sets[other], sets[name], cluster)[:3]
-            if now[0] > 0 and now > strongest[other]:
-                before = diversity_score(*strongest[other])
-                strongest[other] = now
-                if (d := diversity_score(*now)) != before:
-                    heapq.heappush(heap, (-base[other] * d, -d, -base[other], other))
+        now = np.stack(row(i))
+        more = (now[0] > strongest[0]) | ((now[0] == strongest[0]) & ((now[1] > strongest[1]) | ((now[1] == strongest[1]) & (now[2] > strongest[2]))))
+        for j in np.flatnonzero(left & (now[0] > 0) & more):
+            strongest[:, j] = now[:, j]
+            if (d := diversity_score(*now[:, j])) != diversity_of[j]:
+                diversity_of[j] = d
+                heapq.heappush(heap, (-base[j] * d, -d, -base[j], rules[j][0]))
     return out
 
 

@@ -181,10 +181,27 @@ def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pt.mine(_whole(spark, sf_dir), ctx.numeric_features(), ctx.categorical_features())
 
 
+def _importance(data: DataFrame) -> dict[str, float]:
+    """The features by rank with their score."""
+    rows = ds.feature_importance(data, ctx.numeric_features(), ctx.categorical_features()).select("rank", "feature", "composite_score").collect()
+    return {r["feature"]: r["composite_score"] for r in sorted(rows, key=lambda r: r["rank"])}
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    data = _whole(spark, sf_dir)
+    return pt.feature_clusters(data, ctx.numeric_features(), ctx.categorical_features(), _importance(data))
+
+
+def _mined_with_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """_mined and _clusters from one table and one importance."""
     data, n, k = _whole(spark, sf_dir), ctx.numeric_features(), ctx.categorical_features()
-    importance = {r["feature"]: r["composite_score"] for r in ds.feature_importance(data, n, k).select("feature", "composite_score").collect()}
-    return pt.feature_clusters(data, n, k, importance)
+    importance = _importance(data)
+    return *pt.mine(data, n, k, importance=importance), pt.feature_clusters(data, n, k, importance)
+
+
+def _diversity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, valid, cluster = _mined_with_clusters(spark, sf_dir)
+    return _diversity(pt.base_ranking(stats, valid).persist(), cluster)  # read for the feature sets, and for their rules
 
 
 def _all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,5 +215,5 @@ query("rule_statistics_all")(lambda s, d: rounded(_mined(s, d)[0], ["features",
 query("rule_walk_forward_all")(lambda s, d: rounded(_mined(s, d)[1], ["features", "buckets"], [*_WCOLS, "is_robust"]))
 query("rule_ranking_all")(lambda s, d: rounded(pt.base_ranking(*_mined(s, d)), ["features", "buckets"], ["is_robust", "wf_stability", "base_score"]))
 query("rule_similarity_all")(lambda s, d: rounded(pt.similar_rules(_mined(s, d)[1], cluster=_clusters(s, d)), ["rule", "other"], ["similarity", "position"]))
-query("rule_diversity_all")(lambda s, d: _diversity(pt.base_ranking(*_mined(s, d)), _clusters(s, d)))
+query("rule_diversity_all")(_diversity_all)
 query("feature_clusters")(lambda s, d: s.createDataFrame(sorted(_clusters(s, d).items()), "feature string, representative string"))

@@ -1,6 +1,7 @@
 """Rule mining as a whole, and its clusters, against plain loops."""
 
 import datetime as dt
+import time
 from itertools import combinations
 
 import numpy as np
@@ -61,3 +62,37 @@ def test_clusters_and_neighbours_that_share_one(spark, data):
     got = {(r.rule, r.other): r.similarity for r in patterns.similar_rules(rules, cluster=cluster).collect()}
     assert got == {("n0|n1:q0|q1", "n2|n3:q0|q1"): pytest.approx(1 / 3), ("n2|n3:q0|q1", "n0|n1:q0|q1"): pytest.approx(1 / 3)}
     assert patterns.similar_rules(rules).count() == 0
+
+
+def test_statistics_over_blocks(data, monkeypatch):
+    df, p = data
+    monkeypatch.setattr(patterns, "BLOCK", 250)  # five blocks of near targets
+    monkeypatch.setattr(patterns, "PART", 5)
+    p = p.assign(y=p.future_return_20.where(p.index % 9 > 0))
+    df = df.sparkSession.createDataFrame(p)
+    bucketed = patterns.bucket_columns(df, NUMERIC, CATEGORICAL)
+    got = {(r.features, r.buckets): r for r in patterns.evaluate(bucketed, [*NUMERIC, *CATEGORICAL], "y").collect()}
+    buckets = p[CATEGORICAL].assign(**{x: "q" + pd.qcut(p[x], 4, labels=False).astype(str) for x in NUMERIC})
+    want = 0
+    for k in (2, 3, 4):
+        for names in combinations([*NUMERIC, *CATEGORICAL], k):
+            for values, rows in p.groupby([buckets[x] for x in names]):
+                y = rows.y.dropna()
+                if len(rows) >= patterns.MIN_SAMPLES and len(y) >= patterns.MIN_STATS:
+                    r, want = got["|".join(names), "|".join(values)], want + 1
+                    assert (r.signal_frequency, r.average_mfe, r.average_mae) == (len(y), 1.0, -1.0)
+                    assert (r.win_rate, r.average_return, r.median_return, r.expectancy) == pytest.approx(((y > 0).mean(), y.mean(), y.median(), y.mean()))
+                    assert r.profit_factor == pytest.approx(y[y > 0].sum() / -y[y < 0].sum())
+    assert len(got) == want
+
+
+def test_groups_of_every_set_of_25_features(spark):
+    names = [f"f{i:02}" for i in range(25)]
+    sets = ["|".join(x) for k in (2, 3, 4) for x in combinations(names, k)]
+    assert len(sets) == patterns.MOST_SETS
+    ranked = spark.createDataFrame(pd.DataFrame({"features": sets, "rank": range(1, len(sets) + 1)}))
+    began = time.time()
+    assert set(patterns.feature_groups(ranked).values()) == {"f00|f01"}  # every set holds a pair, and pairs meet in triples
+    assert time.time() - began < 60
+    lone = patterns.feature_groups(ranked.filter("features in ('f00|f01', 'f02|f03', 'f01|f02|f03|f04', 'f01|f05')"))
+    assert lone == {"f00|f01": "f00|f01", "f01|f05": "f01|f05", "f02|f03": "f02|f03", "f01|f02|f03|f04": "f02|f03"}
