@@ -384,17 +384,38 @@ def diversity_score(similarity: float, overlap: float, shared: float) -> float:
 
 
 def similar_rules(ranked: DataFrame, top: int = 10, cluster: dict[str, str] | None = None) -> DataFrame:
-    """Each robust rule's most similar rules: rules that share a feature or a cluster meet by an equi-join on it. Ties by name."""
-    r = ranked.filter("is_robust").select(F.concat_ws(":", "features", "buckets").alias("rule"), F.split("features", "[|]").alias("f"))
-    names = F.create_map(*[F.lit(v) for kv in cluster.items() for v in kv]) if cluster else None
-    r = r.withColumn("k", F.transform("f", lambda x: F.coalesce(F.element_at(names, x), x)) if cluster else c("f"))
-    e = r.select("rule", "f", "k", F.explode(F.array_distinct("k")).alias("x"))  # a shared feature is a shared cluster
-    met = e.alias("l").join(e.alias("r"), (c("l.x") == c("r.x")) & (c("l.rule") != c("r.rule"))).select(c("l.rule").alias("rule"), c("r.rule").alias("other"), c("l.f").alias("a"), c("r.f").alias("b"), c("l.k").alias("ka"), c("r.k").alias("kb")).dropDuplicates(["rule", "other"])
-    both = F.size(F.array_intersect("a", "b"))
-    overlap = F.size(F.array_intersect("ka", "kb")) / F.size(F.array_union("ka", "kb"))
-    score = F.greatest(both / F.size(F.array_union("a", "b")), overlap, both / F.least(F.size("a"), F.size("b")))
-    met = met.withColumn("similarity", score)
-    w = W.partitionBy("rule").orderBy(F.desc("similarity"), "other")
+    """Each robust rule's most similar rules, of those that share a feature or a cluster. Ties by name.
+
+    Similarity is one of feature sets, whose number the catalogue bounds: on the driver, each set gets its first rules,
+    one more than are asked for, from the first names of every set; a rule takes its set's, but for itself.
+    """
+    r = ranked.filter("is_robust").select("features", F.concat_ws(":", "features", "buckets").alias("rule")).persist()
+    place = W.partitionBy("features").orderBy("rule")
+    kept = r.withColumn("_p", F.row_number().over(place)).filter(c("_p") <= top + 1).select("features", "rule", F.row_number().over(W.orderBy("rule")).alias("_i")).persist()
+    listed = kept.groupBy("features").agg(F.sort_array(F.collect_list("_i")).alias("i")).orderBy("features").toArrow()
+    features = listed.column("features").to_pylist()
+    last = np.iinfo(np.int32).max
+    first = np.full((len(features), top + 1), last, np.int32)  # the numbers of each set's first rules, rising
+    for s, numbers in enumerate(listed.column("i").to_pylist()):
+        first[s, : len(numbers)] = numbers
+    row = similarity_rows([frozenset(x.split("|")) for x in features], cluster or {})
+    found = []
+    for i in range(len(features)):
+        similarity = row(i)[0]
+        others, values = [], []
+        for v in np.unique(similarity[similarity > 0])[::-1]:
+            at = np.sort(first[similarity == v], axis=None)[: top + 1 - len(others)]
+            others += at[at < last].tolist()
+            values += [float(v)] * (len(others) - len(values))
+            if len(others) > top:
+                break
+        found.append((others, values))
+    numbers, values = zip(*found, strict=True) if found else ((), ())
+    sets = pa.table({"features": pa.array(features, pa.string()), "i": pa.array(numbers, pa.list_(pa.int32())), "v": pa.array(values, pa.list_(pa.float64()))})
+    near = ranked.sparkSession.createDataFrame(sets).select("features", F.posexplode(F.arrays_zip("i", "v")).alias("_p", "_x")).select("features", "_p", c("_x.i").alias("_i"), c("_x.v").alias("similarity"))
+    near = near.join(kept.select("_i", c("rule").alias("other")), "_i")
+    met = r.join(near, "features").filter(c("other") != c("rule"))
+    w = W.partitionBy("rule").orderBy("_p")
     return met.withColumn("position", F.row_number().over(w)).filter(c("position") <= top).select("rule", "other", "similarity", "position")
 
 

@@ -199,6 +199,11 @@ def _mined_with_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     return *pt.mine(data, n, k, importance=importance), pt.feature_clusters(data, n, k, importance)
 
 
+def _similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, valid, cluster = _mined_with_clusters(spark, sf_dir)
+    return rounded(pt.similar_rules(valid, cluster=cluster), ["rule", "other"], ["similarity", "position"])
+
+
 def _diversity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats, valid, cluster = _mined_with_clusters(spark, sf_dir)
     return _diversity(pt.base_ranking(stats, valid).persist(), cluster)  # read for the feature sets, and for their rules
@@ -214,6 +219,6 @@ query("rule_candidates_all")(_all_candidates)
 query("rule_statistics_all")(lambda s, d: rounded(_mined(s, d)[0], ["features", "buckets"], _STAT))
 query("rule_walk_forward_all")(lambda s, d: rounded(_mined(s, d)[1], ["features", "buckets"], [*_WCOLS, "is_robust"]))
 query("rule_ranking_all")(lambda s, d: rounded(pt.base_ranking(*_mined(s, d)), ["features", "buckets"], ["is_robust", "wf_stability", "base_score"]))
-query("rule_similarity_all")(lambda s, d: rounded(pt.similar_rules(_mined(s, d)[1], cluster=_clusters(s, d)), ["rule", "other"], ["similarity", "position"]))
+query("rule_similarity_all")(_similarity_all)
 query("rule_diversity_all")(_diversity_all)
 query("feature_clusters")(lambda s, d: s.createDataFrame(sorted(_clusters(s, d).items()), "feature string, representative string"))

@@ -96,3 +96,18 @@ def test_groups_of_every_set_of_25_features(spark):
     assert time.time() - began < 60
     lone = patterns.feature_groups(ranked.filter("features in ('f00|f01', 'f02|f03', 'f01|f02|f03|f04', 'f01|f05')"))
     assert lone == {"f00|f01": "f00|f01", "f01|f05": "f01|f05", "f02|f03": "f02|f03", "f01|f02|f03|f04": "f02|f03"}
+
+
+def test_neighbours_among_many_rules_of_few_sets(spark):
+    sets, n = ["a|b", "a|b|c", "c|d", "e|f"], 5000
+    rules = pd.DataFrame([(x, f"q{i:05}", True) for x in sets for i in range(n)], columns=["features", "buckets", "is_robust"])
+    found = patterns.similar_rules(spark.createDataFrame(rules), 3, {"f": "d"})
+    assert found.count() == 4 * n * 3  # 400 million pairs, if each rule met each
+    rows = found.filter("rule in ('a|b:q00001', 'c|d:q04000', 'e|f:q00000')").orderBy("rule", "position").collect()
+    alike = [("a|b:q00001", "a|b:q00000", 1.0), ("a|b:q00001", "a|b:q00002", 1.0), ("a|b:q00001", "a|b:q00003", 1.0)]
+    alike += [("c|d:q04000", f"c|d:q0000{i}", 1.0) for i in range(3)] + [("e|f:q00000", f"e|f:q0000{i}", 1.0) for i in (1, 2, 3)]
+    assert [(r.rule, r.other, r.similarity) for r in rows] == alike
+    few = patterns.similar_rules(spark.createDataFrame(rules.groupby("features").head(1)), 3, {"f": "d"})
+    assert {(r.rule[:-7], r.other[:-7], r.position): round(r.similarity, 6) for r in few.collect()} == {
+        ("a|b", "a|b|c", 1): 1.0, ("a|b|c", "a|b", 1): 1.0, ("a|b|c", "c|d", 2): 0.5, ("c|d", "a|b|c", 1): 0.5, ("c|d", "e|f", 2): 0.333333, ("e|f", "c|d", 1): 0.333333,
+    }
