@@ -304,8 +304,11 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame, length: int, anchors: tup
 
         parts = packed(source).join(wanted, ["k1", "k2", "base"]).select("k1", "k2", "base", "z", "parts").mapInArrow(tidy(taken), f"a long, bytes long, multi boolean, {PLACE}, start long, seg binary")
         most = index_bytes if level < len(anchors) - 1 else sys.maxsize
+        last = mixed.filter(F.col("bytes") > most).isEmpty()
+        if not last:
+            parts = written(parts)[0]  # read by this level's indexes and by the next level, without another shuffle of all texts
         found.append(_indexed(parts.filter(F.col("bytes") <= most), length))
-        if mixed.filter(F.col("bytes") > most).isEmpty():
+        if last:
             break
         source = written(parts.filter(F.col("bytes") > most).select("k1", "k2", (F.col("base") + F.col("start")).alias("base"), F.col("multi").alias("copied"), F.col("seg").alias("text")))[0]
     return reduce(DataFrame.unionAll, found)

@@ -272,6 +272,26 @@ def test_run_index_by_brute_force():
             assert [count[p[i : i + 20]] > 1 for i in range(len(p) - 19)] == flags.tolist()
 
 
+def test_substrings_read_no_text_again_for_further_levels(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(8)
+    common = "".join(rng.choices("abcdefghij ", k=260))
+    docs = frame(spark, ["".join(rng.choices("abcdefghij ", k=300)) + common + f" {i} " + "".join(rng.choices("abcdefghij ", k=300)) for i in range(20)])
+    docs = docs.mapInArrow(seen, docs.schema)
+    times = []
+    for index_bytes in (10**9, 1000):
+        before = read.value
+        assert all(r.n_removed >= 260 for r in substring_dedup.dedup_substrings(docs, index_bytes=index_bytes).collect())
+        times.append((read.value - before) / 20)
+    assert times[0] == times[1] > 0
+
+
 def test_substrings_empty(spark):
     assert substring_dedup.dedup_substrings(frame(spark, ["x"]).limit(0)).count() == 0
 
